@@ -355,7 +355,7 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def feature(frames: Column) -> Column:
-    """Frames, time and the summed histogram's eight grey levels as text."""
+    """Frames, time and the summed histogram of the four grey levels as text."""
     grey = F.array(*[F.aggregate(F.transform(frames, lambda f: F.coalesce(F.get(f["histogram"], F.lit(21 * k)), F.lit(0))), F.lit(0).cast("long"), lambda a, b: a + b) for k in range(4)])
     time = F.aggregate(F.transform(frames, lambda f: f["delay_cs"].cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     return F.concat_ws("|", F.size(frames).cast("string"), time.cast("string"), F.concat_ws(",", F.transform(grey, lambda x: x.cast("string"))))
