@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, langid, license, lm
+from . import bpe, gif, langid, license, lines, lm, shards
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -35,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": lines.ORACLE, "op4_extendible_shards": shards.ORACLE}
