@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, hash_word, longs, mix, stored
+from .common import MASK, blocked, hash_word, longs, mix, stored
 from .components import components
 
 THRESHOLD = 0.93
@@ -117,9 +117,7 @@ def links(known: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
                     )
 
     rows = known.mapInArrow(hashed, "bucket long, rep long, size long, unit binary, codes binary")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    rows = rows.join(stored(sizes.select("bucket", "blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "size", "unit", "codes")
+    rows = blocked(rows, "bucket", "rep", BLOCK)
 
     def compare(key, block):
         bucket, i, j = (k.as_py() for k in key)

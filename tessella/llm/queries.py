@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, gif, langid, license, lines, lm, packing, shards
+from . import bpe, embeddings, gif, jaccard, langid, license, lines, lm, packing, shards
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
