@@ -1,8 +1,62 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""Corpus pipeline: language identification, line dedup, near-duplicate removal, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read as the next one's
+docs. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import jaccard, langid, lines, packing
+from tessella.llm.common import stored, table
+
+#: Words in a shingle and similarity in hundredths from which documents count as near copies.
+SHINGLE, PERCENT = 5, 80
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model accepts; null, empty and letterless texts go."""
+    model = langid.fit(docs.where(langid.trained_on()))
+    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of windows that stand earlier; those of which nothing is left go. n_chars follows the text."""
+    left = lines.dedup_lines(docs)
+    kept = left.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    n = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return kept.select([n.alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that similarity links, directly or through others, the one of the smallest id."""
+    groups = jaccard.join(docs, SHINGLE, PERCENT)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(stored(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its bin, its place in it and the bin's length."""
+    return packing.digest(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_identified),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("best_fit_packing", pack),
+]
+
+#: A language model and a packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
