@@ -1,0 +1,137 @@
+"""Compression and replay of conversations: user turns after the first stand for observations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.cost import PRICES, cache_net_cost, hit_rate, reduction
+from ..functions.text import sized_summary
+from ..operators import history, metrics
+from .registry import numbers, query, table, tokens_sql
+from .text_queries import _REST
+
+BUDGETS = (500, 300, 200, 100)
+SYSTEM, WORDS = 50, 5
+MODEL, SUMMARIZER = "openai/gpt-oss-120b", "llama-3.1-8b-instant"
+
+HISTORY_SQL = f"""h AS (SELECT conv_id, turn AS step, CASE WHEN role = 'user' AND turn > min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) THEN 'tool' ELSE role END AS role, text AS content FROM conversations)"""
+
+
+def turns(spark, sf_dir):
+    first = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
+    role = F.when((F.col("role") == "user") & (F.col("turn") > first), "tool").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("step"), role.alias("role"), F.col("text").alias("content"))
+
+
+_MASK_SQL = f"""{HISTORY_SQL}, m AS (SELECT *, coalesce(step = min(step) FILTER (role = 'user') OVER c, false) OR coalesce(step >= max(step) FILTER (role = 'assistant') OVER c, false) AS protected FROM h WINDOW c AS (PARTITION BY conv_id))"""
+
+
+@query(f"WITH {_MASK_SQL} SELECT conv_id, step, role, protected FROM m")
+def protected_mask(spark, sf_dir):
+    return history.with_protected(turns(spark, sf_dir)).select("conv_id", "step", "role", "protected")
+
+
+_SUM = f"list_slice(regexp_extract_all({_REST.replace('text', 'content')}, '\\S+'), 1, {WORDS})"
+_SUMMARY_SQL = f"CASE WHEN len({_SUM}) = 0 THEN split_part(content, chr(10), 1) ELSE split_part(content, chr(10), 1) || ' ' || array_to_string({_SUM}, ' ') END"
+COMPRESS_SQL = f"""{_MASK_SQL}, t AS (SELECT *, {tokens_sql('content')} AS tokens, {_SUMMARY_SQL} AS summary, role = 'tool' AND NOT protected AND content <> '{history.MARKER}' AS free FROM m),
+u AS (SELECT t.*, {tokens_sql('summary')} AS summary_tokens, budget, sum(tokens) OVER (PARTITION BY conv_id, budget) AS total FROM t, (SELECT unnest([{', '.join(map(str, BUDGETS))}])::INTEGER AS budget)),
+v AS (SELECT *, free AND total > budget AND total - coalesce(sum(CASE WHEN free THEN greatest(tokens - summary_tokens, 0) ELSE 0 END) OVER (PARTITION BY conv_id, budget ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > budget AS marked FROM u),
+x AS (SELECT *, marked AND summary_tokens < tokens AS summarized, CASE WHEN marked AND summary_tokens < tokens THEN summary_tokens ELSE tokens END AS mid FROM v),
+y AS (SELECT *, sum(mid) OVER (PARTITION BY conv_id, budget) AS after_sum, sum(mid) OVER (PARTITION BY conv_id, budget) - sum(CASE WHEN free THEN mid - 3 ELSE 0 END) OVER (PARTITION BY conv_id, budget ORDER BY step) AS remaining FROM x),
+z AS (SELECT *, free AND total > budget AND least(after_sum, coalesce(min(remaining) OVER (PARTITION BY conv_id, budget ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after_sum)) > budget AS dropped FROM y),
+n AS (SELECT *, CASE WHEN dropped THEN '{history.MARKER}' WHEN summarized THEN summary ELSE content END AS new_content, (CASE WHEN dropped THEN 3 ELSE mid END)::BIGINT AS new_tokens FROM z)"""
+
+
+def _compressed(spark, sf_dir):
+    return history.compress(turns(spark, sf_dir), numbers(spark, BUDGETS), lambda c: sized_summary(c, WORDS))
+
+
+@query(f"WITH {COMPRESS_SQL} SELECT conv_id, step, budget, summarized, dropped, marked AS compressed, sha256(new_content) AS content_sha, new_tokens FROM n")
+def compress_turns(spark, sf_dir):
+    return _compressed(spark, sf_dir).select("conv_id", "step", "budget", "summarized", "dropped", "compressed", F.sha2("new_content", 256).alias("content_sha"), "new_tokens")
+
+
+@query(
+    f"""WITH {COMPRESS_SQL} SELECT conv_id, budget, sum(tokens)::BIGINT AS tokens, sum(new_tokens)::BIGINT AS new_tokens, count(*) FILTER (summarized) AS summarized, count(*) FILTER (dropped) AS dropped,
+    count(*) FILTER (marked AND tokens > 0) AS calls, coalesce(sum(tokens) FILTER (marked), 0)::BIGINT + 20 * count(*) FILTER (marked AND tokens > 0) AS summarizer_input, coalesce(sum(summary_tokens) FILTER (marked), 0)::BIGINT AS summarizer_output
+    FROM n GROUP BY 1, 2"""
+)
+def compress_pass(spark, sf_dir):
+    return history.compression_totals(_compressed(spark, sf_dir), instruction_tokens=20)
+
+
+PLAIN_SQL = f"""{HISTORY_SQL}, t AS (SELECT *, {tokens_sql('content')} AS tokens, sha256(role || chr(0) || coalesce(content, '')) AS hash, row_number() OVER (PARTITION BY conv_id ORDER BY step) AS n FROM h),
+p AS (SELECT conv_id, n AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY step)::INTEGER AS prompt FROM t WHERE role = 'assistant'),
+b AS (SELECT conv_id, prompt, n::INTEGER AS block, tokens, hash FROM t JOIN p USING (conv_id) WHERE n < upto UNION ALL SELECT conv_id, prompt, 0, {SYSTEM}, 'system' FROM p),
+s AS (SELECT b.*, min(CASE WHEN b.hash = a.hash THEN 1 ELSE 0 END) OVER (PARTITION BY b.conv_id, b.prompt ORDER BY b.block) = 1 AS cached
+  FROM b LEFT JOIN b a ON a.conv_id = b.conv_id AND a.prompt = b.prompt - 1 AND a.block = b.block)"""
+
+
+@query(
+    f"""WITH {HISTORY_SQL}, t AS (SELECT *, {tokens_sql('content')} AS tokens FROM h),
+    s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {SYSTEM} AS sent FROM t)
+    SELECT conv_id, count(*) FILTER (role = 'assistant') AS prompts, coalesce(sum(sent) FILTER (role = 'assistant'), 0)::BIGINT AS input, coalesce(sum(tokens) FILTER (role = 'assistant'), 0)::BIGINT AS output FROM s GROUP BY 1"""
+)
+def replay_uncompressed(spark, sf_dir):
+    return history.replay_plain(turns(spark, sf_dir), SYSTEM)
+
+
+@query(f"WITH {PLAIN_SQL} SELECT conv_id, prompt, block, tokens, hash, cached FROM s")
+def prefix_cache_split(spark, sf_dir):
+    return history.cache_split(history.prompt_blocks(turns(spark, sf_dir), SYSTEM), ["conv_id"])
+
+
+_TOTALS_SQL = f"{PLAIN_SQL}, c AS (SELECT conv_id, coalesce(sum(tokens) FILTER (cached), 0)::BIGINT AS cached, coalesce(sum(tokens) FILTER (NOT cached), 0)::BIGINT AS fresh FROM s GROUP BY 1)"
+
+
+@query(f"WITH {_TOTALS_SQL} SELECT conv_id, cached, fresh, round(coalesce(cached / nullif(cached + fresh, 0), 0), 6) AS hit_rate FROM c")
+def cache_hit_rate(spark, sf_dir):
+    split = history.cache_split(history.prompt_blocks(turns(spark, sf_dir), SYSTEM), ["conv_id"])
+    return history.cache_totals(split, ["conv_id"]).select("conv_id", "cached", "fresh", F.round(hit_rate(F.col("cached"), F.col("fresh")), 6).alias("hit_rate"))
+
+
+def _replayed(spark, sf_dir):
+    """Every trajectory under every budget beside the same without compression."""
+    rows = history.replay(turns(spark, sf_dir), numbers(spark, (0, *BUDGETS)), SYSTEM, WORDS)
+    base = rows.where("budget = 0").select("conv_id", *[F.col(c).alias(f"base_{c}") for c in ("input", "output", "cached", "fresh")])
+    return rows.where("budget > 0").join(base, "conv_id")
+
+
+@query()
+def replay_compressed(spark, sf_dir):
+    return history.replay(turns(spark, sf_dir), numbers(spark, BUDGETS), SYSTEM, WORDS)
+
+
+def _sums(rows):
+    """Per budget: token reductions as means over trajectories, the cost reduction both of the sums and as a mean."""
+    in_usd, out_usd = PRICES[MODEL]
+    spent = lambda p: F.sum(p)
+    base = (F.col("base_input") + F.col("base_output")) * in_usd / 1e6
+    now = (F.col("input") + F.col("output")) * in_usd / 1e6 + F.col("overhead") * PRICES[SUMMARIZER][0] / 1e6
+    gross, net = F.col("input") + F.col("output"), F.col("input") + F.col("output") + F.col("overhead")
+    whole = F.col("base_input") + F.col("base_output")
+    return rows.groupBy("budget").agg(
+        F.avg(reduction(whole, gross)).alias("gross_reduction"), F.avg(reduction(whole, net)).alias("net_reduction"), reduction(spent(base), spent(now)).alias("net_cost_reduction"),
+        F.avg(reduction(base, now)).alias("mean_cost_reduction"), F.avg("overhead").alias("mean_overhead"), F.sum(F.col("engaged").cast("long")).alias("engaged"), F.count("*").alias("trajectories"),
+    )
+
+
+@query()
+def replay_sweep(spark, sf_dir):
+    return _sums(_replayed(spark, sf_dir))
+
+
+@query()
+def best_replay_budget(spark, sf_dir):
+    rows = _sums(_replayed(spark, sf_dir))
+    return metrics.first_by(rows, [], F.desc("net_cost_reduction"), F.desc("budget")).select("budget", "net_cost_reduction")
+
+
+@query()
+def cache_cost_sweep(spark, sf_dir):
+    (in_usd, out_usd), over_usd = PRICES[MODEL], PRICES[SUMMARIZER][0]
+    rows = _replayed(spark, sf_dir)
+    cost = lambda p, share, over: cache_net_cost(F.col(f"{p}fresh"), F.col(f"{p}cached"), F.col(f"{p}output"), share, F.lit(in_usd), F.lit(out_usd), over, F.lit(over_usd))
+    cuts = [F.avg(reduction(cost("base_", share, F.lit(0)), cost("", share, F.col("overhead")))).alias(name) for share, name in ((1.0, "no_cache_reduction"), (0.5, "half_reduction"), (0.1, "tenth_reduction"))]
+    return rows.groupBy("budget").agg(F.avg(hit_rate(F.col("base_cached"), F.col("base_fresh"))).alias("base_hit"), F.avg(hit_rate(F.col("cached"), F.col("fresh"))).alias("treat_hit"), *cuts, F.sum(F.col("engaged").cast("long")).alias("engaged"))

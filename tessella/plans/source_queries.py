@@ -1,0 +1,114 @@
+"""Structure of Python sources. The tables hold none, so a few written here serve."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import pysource
+from ..operators.chunks import parse_patches, reanchor
+from .registry import query
+
+SAMPLES = {
+    "shop/cart.py": '''"""A cart."""
+import json
+from decimal import Decimal as D, getcontext
+
+LIMIT = 20
+rates: dict[str, D] = {}
+
+
+@cached
+def total(items, rate=None):
+    """Sum of all items.
+
+    Prices are in cents.
+    """
+    out = sum(i.price for i in items)
+    return out * (rate or D(1))
+
+
+class Cart(Base, mixins.Sized):
+    """Holds items
+    until they are paid."""
+
+    size = 0
+
+    def __init__(self, owner):
+        self.owner = owner
+        self.items = []
+
+    @property
+    def empty(self):
+        return not self.items
+
+    class Line:
+        def text(self):
+            return json.dumps(self.__dict__)
+
+
+async def fetch(url: str) -> str:
+    return await client.get(url)
+''',
+    "shop/__init__.py": "from .cart import Cart, total\n\nif True:\n    def hidden():\n        pass\n",
+    "shop/rules.py": "def check(a, b):\n    '''Ünïcode rule.'''\n    first = a + b\n    if first:\n        first = first * 2\n    second = first - a\n    third = [x for x in range(second)]\n    return third\n\n\ndef small():\n    return 1\n\nNOTE = 'between'\n\ndef tiny():\n    return 2\n",
+    "shop/broken.py": "def f(:\n",
+    "shop/comment.py": "# nothing here\n",
+}
+
+PATCH = """diff --git a/shop/cart.py b/shop/cart.py
+--- a/shop/cart.py
++++ b/shop/cart.py
+@@ -9,3 +9,4 @@ def total(items, rate=None):
++    pass
+@@ -20,3 +21,4 @@ class Cart(Base, mixins.Sized):
++    pass
+@@ -11,3 +12,4 @@ def total(items, rate=None):
++++ b/shop/rules.py
+@@ -1,3 +1,4 @@ def check(a, b):
+"""
+
+
+def sources(spark):
+    return spark.createDataFrame(list(SAMPLES.items()), "path string, content string")
+
+
+@query()
+def py_symbols(spark, sf_dir):
+    return pysource.python_symbols(sources(spark))
+
+
+@query()
+def py_top_level(spark, sf_dir):
+    return pysource.top_level(pysource.python_symbols(sources(spark)))
+
+
+@query()
+def py_references(spark, sf_dir):
+    return pysource.python_references(sources(spark))
+
+
+@query()
+def py_chunks(spark, sf_dir):
+    return pysource.python_chunks(sources(spark), most=24)
+
+
+@query()
+def py_chunks_merged(spark, sf_dir):
+    return pysource.python_chunks(sources(spark), merge=True)
+
+
+@query()
+def py_skeleton(spark, sf_dir):
+    return pysource.python_skeletons(pysource.python_chunks(sources(spark))).select("path", "start_line", "end_line", "kind", "skeleton", "parses")
+
+
+@query()
+def patch_gold(spark, sf_dir):
+    hunks = parse_patches(spark.createDataFrame([(1, PATCH)], "patch_id long, patch string"))
+    return reanchor(hunks, pysource.python_symbols(sources(spark)))
+
+
+@query()
+def py_symbols_sql(spark, sf_dir):
+    pysource.register(spark)
+    return spark.sql("SELECT path, s.* FROM {files}, LATERAL py_symbols(content) AS s", files=sources(spark)).select("path", "qualified", "kind", F.col("start_line"), F.col("end_line"))

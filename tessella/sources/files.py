@@ -66,10 +66,10 @@ def load_tasks(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
 def task_violations(tasks: DataFrame, target_sha: str | None = "-") -> DataFrame:
     """(id, rule) for everything a task set must not have; a set without sha breaks a rule of its own."""
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    n = F.count("*").over(Window.partitionBy("id"))
+    tasks = tasks.withColumn("_n", F.count("*").over(Window.partitionBy("id")))
     bad_span = F.exists("gold", lambda g: g["path"].isNull() | (g["path"] == "") | (F.coalesce(g["start"], F.lit(0)) <= 0) | (F.coalesce(g["end"], F.lit(0)) < F.coalesce(g["start"], F.lit(0))))
     rules = {
-        "empty id": empty("id"), "repeated id": n > 1, "empty query": empty("query"), "unknown bucket": ~F.coalesce(F.col("bucket").isin("localization", "enumeration"), F.lit(False)),
+        "empty id": empty("id"), "repeated id": F.col("_n") > 1, "empty query": empty("query"), "unknown bucket": ~F.coalesce(F.col("bucket").isin("localization", "enumeration"), F.lit(False)),
         "no gold": F.coalesce(F.size("gold"), F.lit(0)) <= 0, "bad gold span": F.coalesce(bad_span, F.lit(False)),
     }
     rows = tasks.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule")).distinct()
