@@ -39,8 +39,8 @@ def debounce(events: DataFrame, gap_ms: int, ts: str = "ts", path: str = "path",
 
 def debounce_stream(events: DataFrame, gap: str = "200 milliseconds", watermark: str = "10 minutes", ts: str = "ts", path: str = "path", keys: tuple[str, ...] = ()) -> DataFrame:
     """The same on a stream: session windows, closed when the watermark passes them; later events are dropped."""
-    rows = events.withWatermark(ts, watermark)
-    return rows.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("events"), F.array_sort(F.collect_set(path)).alias("paths")).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events", "paths")
+    rows = events.withWatermark(ts, watermark).withColumn("_all", F.lit(0))  # a stream's session needs a key
+    return rows.groupBy(F.session_window(ts, gap).alias("w"), *(keys or ("_all",))).agg(F.count("*").alias("events"), F.array_sort(F.collect_set(path)).alias("paths")).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events", "paths")
 
 
 def watch_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
