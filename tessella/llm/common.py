@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step takes at most, unless a single text is longer.
 STEP_BYTES = 2 << 20
+#: Rows of texts in an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +62,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most BATCH_ROWS rows at a time: a batch of whole texts is held by both sides at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def _release() -> None:
+    """Give freed memory back to the system, so workers that live on don't add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding at most `limit` bytes in column `text`, one row at least."""
+    done = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +90,10 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             to = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
             yield batch.slice(row, to - row)
             row = to
+        done += batch.nbytes
+        if done > 16 * STEP_BYTES:
+            done = 0
+            _release()
 
 
 def binary_column(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:

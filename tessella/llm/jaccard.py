@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, chained, longs, mix, steps, stored, utf8, word_hashes, words
+from .common import blocked, chained, longs, mix, small_batches, steps, stored, utf8, word_hashes, words
 from .components import components, forest
 
 #: Words in a shingle, and similarity in hundredths.
@@ -77,7 +77,7 @@ def frequent(docs: DataFrame, size: int, threshold: int, most: int) -> np.ndarra
             sets = shingle_sets(*utf8(batch.column("text")), size)
             held += sets
             n += sum(map(len, sets))
-            if n > 3_000_000:
+            if n > 1_500_000:
                 yield from told(held, n)
                 held, n = [], 0
         if held:
@@ -301,6 +301,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row; a component is what links reach, named by its smallest id."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
     every = stored(described(docs, size, percent, frequent(docs, size, FREQUENT, FREQUENT_MAX)))
     classes = stored(every.where("n > 0").groupBy("set", "n").agg(F.min(F.struct("id", "sketch", "first")).alias("c")).select("set", "n", F.col("c.id").alias("node"), "c.sketch", "c.first"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chained, hash_word, longs, mix, steps, stored, utf8, word_hashes, words
+from .common import chained, hash_word, longs, mix, small_batches, steps, stored, utf8, word_hashes, words
 
 #: Bytes of the whole filter at most, and bits for each level of a count.
 FILTER_BYTES, LEVEL_BITS = 32 << 20, 12
@@ -187,6 +187,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     Null texts count as empty. Rows need no distinct ids. base_score adds up exact counts; score takes
     0.6 of the bigram's share among its context's count and 0.4 of the smoothed word share, counts read from the filter.
     """
+    small_batches(docs.sparkSession)
     counts = stored(word_counts(docs, learn, text_col))
     n, v, total = counts.agg(F.coalesce(F.sum("taught"), F.lit(0)), F.count(F.when(F.col("taught") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = counts.where(F.col("n") * FREQUENT >= total).toPandas().sort_values("word")
