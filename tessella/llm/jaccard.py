@@ -30,8 +30,8 @@ SHINGLE, PERCENT = 4, 85
 FREQUENT, FREQUENT_MAX = 64, 1 << 22
 #: Largest size that may be light, and what a place in an inverted list costs in subsets.
 LIGHT_MAX, LIST_COST = 24, 4
-#: Words of 64 bits in a sketch, and classes in a block.
-SKETCH, BLOCK = 8, 2048
+#: Bits of a sketch at least, and classes in a block.
+SKETCH, BLOCK = 512, 2048
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -63,8 +63,13 @@ def spare(n: int, percent: int) -> int:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """Parity of the shingles by hash: two sketches differ in no more bits than the sets differ in shingles."""
-    bits = np.bincount((x >> np.uint64(7)) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    """Parity of the shingles by hash: two sketches differ in no more bits than the sets differ in shingles.
+
+    It has as many bits as shingles at least, a power of two, so unlike sets of any size differ in many. Its halves
+    combine to the sketch of half the bits.
+    """
+    m = max(SKETCH, 1 << max(0, len(x) - 1).bit_length())
+    bits = np.bincount(((x >> np.uint64(7)) % np.uint64(m)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
@@ -191,34 +196,51 @@ def listed(classes: DataFrame, least: int, percent: int) -> DataFrame:
     return posted.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(gather, "list long, node long").distinct()
 
 
+def _sketches(rows: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of `bits` bits or twice as many as rows of `bits`."""
+    out = np.empty((len(rows), bits // 64), np.uint64)
+    for k, row in enumerate(rows):
+        x = np.frombuffer(row, np.uint64)
+        out[k] = x if len(x) == bits // 64 else x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return out
+
+
 def _near(n_a, a, n_b, b, percent):
-    """Pairs of a block that sizes and sketches allow, with the bits they differ in."""
-    for k in range(0, len(a), 64):
-        na = n_a[k : k + 64, None]
-        p, q = np.nonzero(100 * np.minimum(na, n_b) >= percent * np.maximum(na, n_b))
-        for s in range(0, len(p), 1 << 16):
-            u, v = p[s : s + (1 << 16)] + k, q[s : s + (1 << 16)]
-            bits = np.bitwise_count(a[u] ^ b[v]).sum(1, dtype=np.int64)
-            good = (100 + percent) * bits <= (100 - percent) * (n_a[u] + n_b[v])
-            yield u[good], v[good], bits[good]
-
-
-def _block(block, key, columns):
+    """Pairs of a block that sizes and sketches allow, with the bits they differ in; linked sizes are under twice each other."""
+    bits_a, bits_b = (np.array([8 * len(x) for x in z], np.int64) for z in (a, b))
+    for high in np.unique(np.concatenate([bits_a, bits_b])):
+        for p, q in ((high, high), (high, high // 2), (high // 2, high)):
+            at, bt = np.flatnonzero(bits_a == p), np.flatnonzero(bits_b == q)
+            if not len(at) or not len(bt):
+                continue
+            x, y = _sketches([a[i] for i in at], min(p, q)), _sketches([b[i] for i in bt], min(p, q))
+            nx, ny = n_a[at], n_b[bt]
+            for k in range(0, len(at), 64):
+                some = nx[k : k + 64, None]
+                i, j = np.nonzero(100 * np.minimum(some, ny) >= percent * np.maximum(some, ny))
+                width = max(1, (1 << 19) // x.shape[1])
+                for s in range(0, len(i), width):
+                    u, v = i[s : s + width] + k, j[s : s + width]
+                    bits = np.bitwise_count(x[u] ^ y[v]).sum(1, dtype=np.int64)
+                    good = (100 + percent) * bits <= (100 - percent) * (nx[u] + ny[v])
+                    yield at[u[good]], bt[v[good]], bits[good]
+
+
+def _block(block, key):
+    """Rows of the block's two parts, nodes, sizes, sketches."""
     own, node, n = (block.column(c).to_numpy() for c in ("own", "node", "n"))
     order = np.lexsort((node, own))
-    parts = [np.flatnonzero(own[order] == k.as_py()) for k in key[-2:]]
-    sk = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint64).reshape(len(node), SKETCH)
-    return [order[p] for p in parts], node, n, sk
+    return [order[own[order] == k.as_py()] for k in key[-2:]], node, n, block.column("sketch").to_pylist()
 
 
 def candidates(groups: DataFrame, percent: int) -> DataFrame:
     """(u, v): links that connect all classes of a list that sizes and sketches allow."""
 
     def compare(key, block):
-        (a, b), node, n, sk = _block(block, key, None)
+        (a, b), node, n, sk = _block(block, key)
         u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held = []
-        for p, q, _ in _near(n[a], sk[a], n[b], sk[b], percent):
+        for p, q, _ in _near(n[a], [sk[i] for i in a], n[b], [sk[i] for i in b], percent):
             p, q = node[a[p]], node[b[q]]
             held.append((p[p != q], q[p != q]))
             if sum(len(x) for x, _ in held) > 500_000:
@@ -234,9 +256,9 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
     """(u, v): true links that connect all linked classes of a group, from rows (root, node, n, sketch, shingles)."""
 
     def compare(key, block):
-        (a, b), node, n, sk = _block(block, key, None)
+        (a, b), node, n, sk = _block(block, key)
         sets = block.column("shingles").to_pylist()
-        near = [x for x in _near(n[a], sk[a], n[b], sk[b], percent)]
+        near = [x for x in _near(n[a], [sk[i] for i in a], n[b], [sk[i] for i in b], percent)]
         p, q, bits = (np.concatenate(z) for z in zip(*near, strict=True)) if near else (np.zeros(0, int),) * 3
         order = np.argsort(bits, kind="stable")
         root = {}
