@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MASK, blocked, hash_word, longs, mix, stored
-from .components import components
+from .components import components, forest
 
 THRESHOLD = 0.93
 #: Tables, probes of each, and vectors that a bucket holds at most if vectors lie evenly.
@@ -88,7 +88,11 @@ def _codes(x: np.ndarray, tables: int, depth: int, probes: int) -> np.ndarray:
 
 
 def links(known: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(u, v, n_u, n_v): pairs of classes at the threshold that share a bucket, each once, with the classes' sizes."""
+    """What pairs of classes at the threshold that share a bucket come to, each pair counted once.
+
+    (u, null, n): n vectors of other classes link with class u, summed over blocks. (u, v, null): links that connect
+    what a block's links connect. Pairs themselves stay in their block.
+    """
     n = known.count()
 
     def hashed(batches):
@@ -121,29 +125,31 @@ def links(known: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES,
 
     def compare(key, block):
         bucket, i, j = (k.as_py() for k in key)
+        once = np.unique(block.column("rep").to_numpy(), return_index=True)[1]  # a vector may stand twice in a bucket
+        block = block.take(pa.array(once))
         own, rep, size = (block.column(c).to_numpy() for c in ("own", "rep", "size"))
         x = np.frombuffer(b"".join(block.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
         codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint64).reshape(len(rep), -1)
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
+        degree = np.zeros(len(rep), np.int64)
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for k in range(0, len(a), 256):
             p, q = np.nonzero(x[a[k : k + 256]] @ x[b].T >= threshold)
             p, q = a[k + p], b[q]
-            once = rep[p] < rep[q] if i == j else rep[p] != rep[q]
-            p, q = p[once], q[once]
+            new = rep[p] < rep[q] if i == j else rep[p] != rep[q]
+            p, q = p[new], q[new]
             for s in range(0, len(p), 8192):
-                u, v = p[s : s + 8192], q[s : s + 8192]
-                shared = (codes[u][:, :, None] == codes[v][:, None, :]).any(2)
-                least = np.where(shared, codes[u], np.uint64(MASK)).min(1)  # the pair counts in one of its common buckets
+                c, d = p[s : s + 8192], q[s : s + 8192]
+                shared = (codes[c][:, :, None] == codes[d][:, None, :]).any(2)
+                least = np.where(shared, codes[c], np.uint64(MASK)).min(1)  # the pair counts in one of its common buckets
                 keep = least == np.uint64(bucket & MASK)
-                out.append((u[keep], v[keep]))
-        u, v = (np.concatenate(z) if out else np.zeros(0, int) for z in (zip(*out, strict=True) if out else ((), ())))
-        swap = rep[u] > rep[v]
-        u, v = np.where(swap, v, u), np.where(swap, u, v)
-        return pa.table({"u": rep[u], "v": rep[v], "n_u": size[u], "n_v": size[v]})
+                c, d = c[keep], d[keep]
+                degree += np.bincount(c, size[d], len(rep)).astype(np.int64) + np.bincount(d, size[c], len(rep)).astype(np.int64)
+                u, v = forest(np.concatenate([u, rep[c]]), np.concatenate([v, rep[d]]))
+        some = np.flatnonzero(degree)
+        return pa.table({"u": pa.array(np.concatenate([rep[some], u])), "v": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(v)]), "n": pa.concat_arrays([pa.array(degree[some]), pa.nulls(len(u), pa.int64())])})
 
-    found = rows.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long, n_u long, n_v long")
-    return found.distinct()  # a vector may stand twice in a bucket
+    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -153,9 +159,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     hold null or non-finite components, and those without label, link with nothing. Vectors of different lengths don't.
     """
     known = classes(vectors, id_col, vector_col, label_col)
-    pairs = stored(links(known, threshold))
-    degree = pairs.select(F.col("u").alias("rep"), F.col("n_v").alias("n")).unionByName(pairs.select(F.col("v").alias("rep"), F.col("n_u").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = components(pairs.select("u", "v")).withColumnRenamed("node", "rep")
+    found = stored(links(known, threshold))
+    degree = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+    roots = components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     told = stored(known.join(degree, "rep", "left").join(roots, "rep", "left").select(F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
     rows = vectors.select(id_col, vector_col, label_col).join(told, (F.col(label_col) == F.col("_label")) & (F.col(vector_col) == F.col("_vector")), "left")
     root = F.coalesce("component_id", F.col(id_col).cast("long"))
