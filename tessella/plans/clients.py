@@ -96,3 +96,76 @@ def positive_numbers(name: str, default: tuple[int, ...] = (3000,), env: Mapping
     """Positive whole numbers of a comma-separated variable."""
     got = tuple(n for x in env.get(name, "").split(",") if x.strip().lstrip("-").isdigit() and (n := int(x)) > 0)
     return got or default
+
+
+#: Service names and the variables that hold their keys.
+PROVIDERS = {"voyage": "VOYAGE_API_KEY", "openai": "OPENAI_API_KEY"}
+
+
+def embedder_from_env(post_to: Callable[[str, str], Callable[[dict], Reply]], input_type: str, env: Mapping[str, str] = os.environ) -> HttpEmbedder:
+    """The embedder that EMBED_PROVIDER and EMBED_MODEL name; `post_to(provider, key)` gives the transport.
+
+    Texts are cut to EMBED_MAX_CHARS only for services of the second kind, which know no input types.
+    """
+    provider = env.get("EMBED_PROVIDER", "voyage")
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown embedding provider {provider}")
+    key = env.get(PROVIDERS[provider], "")
+    if not key:
+        raise ValueError(f"{PROVIDERS[provider]} is not set")
+    typed = provider == "voyage"
+    cut = 0 if typed else int(env.get("EMBED_MAX_CHARS", MAX_CHARS))
+    return HttpEmbedder(post_to(provider, key), env.get("EMBED_MODEL", ""), input_type if typed else None, cut)
+
+
+class ChatClient:
+    """A model behind a chat service; `post(body)` gives a Reply. Messages go without names, calls with their ids."""
+
+    def __init__(self, post: Callable[[dict], Reply], model: str, pause: Callable[[float], None] = time.sleep):
+        self.post, self.model, self.pause = post, model, pause
+
+    def _ask(self, body: dict) -> dict:
+        return retried(lambda: self.post({"model": self.model, "temperature": 0, **body}), self.pause)
+
+    def generate(self, system: str, messages, tools: list[dict]):
+        from .agent import Call, Message, Usage
+
+        wire = [{"role": "system", "content": system}] if system else []
+        for m in messages:
+            calls = [{"id": c.id, "type": "function", "function": {"name": c.name, "arguments": c.args}} for c in m.calls]
+            wire.append({"role": m.role, "content": m.content} | ({"tool_calls": calls} if calls else {}) | ({"tool_call_id": m.call_id} if m.role == "tool" else {}))
+        body = self._ask({"messages": wire, "tools": [{"type": "function", "function": t} for t in tools]})
+        got, used = body["choices"][0]["message"], body.get("usage") or {}
+        calls = [Call(c["function"]["name"], c["function"].get("arguments") or "{}", c.get("id", "")) for c in got.get("tool_calls") or []]
+        cached = (used.get("prompt_tokens_details") or {}).get("cached_tokens", 0)
+        return Message("assistant", got.get("content") or "", calls), Usage(used.get("prompt_tokens", 0), used.get("completion_tokens", 0), cached)
+
+    def summarize(self, text: str, instruction: str) -> str:
+        body = self._ask({"messages": [{"role": "system", "content": instruction}, {"role": "user", "content": text}]})
+        return (body["choices"][0]["message"].get("content") or "").strip()
+
+
+GUIDELINE = """Shorten the observation. Keep its first line, every path and line number, names of functions and classes,
+error messages and what was found out. Leave out what can be read again."""
+RULES_HEADER = "Rules learned from failures:"
+
+
+def load_guideline(path: str | None = None) -> str:
+    """The file's text, or the built-in one; a file that is missing or empty is an error."""
+    if not path:
+        return GUIDELINE
+    with open(path, encoding="utf-8") as f:
+        text = f.read().strip()
+    if not text:
+        raise ValueError(f"{path} is empty")
+    return text
+
+
+def refined(guideline: str, pairs: list[tuple[str, str]], advise: Callable[[str, str], str]) -> str:
+    """The guideline with a rule for each pair of transcripts (solved, failed after compression); `advise` may say NONE."""
+    rules = [r for solved, failed in pairs if (r := advise(solved, failed).strip().split("\n")[0].strip()) and r.upper() != "NONE"]
+    new = [f"- {r}" for r in dict.fromkeys(rules) if f"- {r}" not in guideline]
+    if not new:
+        return guideline
+    head = [] if RULES_HEADER in guideline else ["", RULES_HEADER]
+    return "\n".join([guideline.rstrip(), *head, *new]) + "\n"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import cost, text, vectors
 from tessella.operators import assembly, chunks, history, metrics, store
-from tessella.operators.retrieval import topk
+from tessella.operators.retrieval import search_text, topk
 from tessella.plans.registry import numbers
 
 
@@ -202,3 +202,12 @@ def test_json_arguments(spark):
     df = spark.createDataFrame([(json.dumps({"query": "a"}),), ("{",), ("{}",)], "args string")
     q, e = text.query_argument("args")
     assert [tuple(r) for r in df.select(q, e).collect()] == [("a", None), (None, "no query"), (None, "no query")]
+
+
+def test_search_text(spark):
+    rows = [(1, "a.py", 1, 2, "function", "def f(x):\n    return x + 1\n", [1.0, 0.0]), (2, "b.py", 5, 6, "function", "def g(x):\n    return x - 1\n", [0.8, 0.6])]
+    df = spark.createDataFrame(rows, "id long, path string, start_line int, end_line int, kind string, content string, vec array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vec array<float>")
+    got = search_text(df, q, 2, 12).first().text
+    assert got.startswith("a.py:1-2\ndef f(x):\n    return") and "b.py:5-6" not in got or "body omitted" in got
+    assert search_text(df.limit(0), q, 2, 100).first().text == "no results"

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,4 +126,23 @@ def test_clients():
     assert clients.wait_of(clients.Reply(429, {}, {"Retry-After": "Thu, 01 Jan 1970 00:00:30 GMT"}), 0, now=0) == 30 and clients.wait_of(None, 9) == 60
     assert [len(b) for b in clients.batches(["x" * 20] * 5, 128, 12)] == [2, 2, 1] and clients.batches(["y" * 99], 1, 1) == [["y" * 99]]
     assert clients.positive_numbers("B", env={"B": "3, -1,x,5"}) == (3, 5) and clients.positive_numbers("B", env={}) == (3000,)
-    assert time
+    with pytest.raises(ValueError):
+        clients.embedder_from_env(lambda p, k: None, "query", {"EMBED_PROVIDER": "other"})
+    e = clients.embedder_from_env(lambda p, k: (p, k), "query", {"EMBED_PROVIDER": "openai", "OPENAI_API_KEY": "k"})
+    assert e.post == ("openai", "k") and e.input_type is None and e.max_chars == clients.MAX_CHARS
+
+
+def test_chat_and_guideline(tmp_path):
+    sent = []
+    body = {"choices": [{"message": {"content": None, "tool_calls": [{"id": "7", "function": {"name": "search_code", "arguments": '{"query": "x"}'}}]}}], "usage": {"prompt_tokens": 9, "completion_tokens": 2, "prompt_tokens_details": {"cached_tokens": 4}}}
+    chat = clients.ChatClient(lambda b: sent.append(b) or clients.Reply(200, body, {}), "m")
+    answer, usage = chat.generate("sys", [agent.Message("user", "q"), agent.Message("tool", "t", call_id="1")], [agent.SearchCode.spec])
+    assert answer.calls == [agent.Call("search_code", '{"query": "x"}', "7")] and (usage.prompt, usage.completion, usage.cached) == (9, 2, 4)
+    assert [m["role"] for m in sent[0]["messages"]] == ["system", "user", "tool"] and sent[0]["temperature"] == 0 and sent[0]["messages"][2]["tool_call_id"] == "1"
+    assert clients.load_guideline() == clients.GUIDELINE
+    (tmp_path / "g").write_text(" ")
+    with pytest.raises(ValueError):
+        clients.load_guideline(str(tmp_path / "g"))
+    once = clients.refined("base", [("a", "b"), ("c", "d")], lambda s, f: "keep paths\nmore" if s == "a" else "none")
+    assert once == f"base\n\n{clients.RULES_HEADER}\n- keep paths\n" and clients.refined(once, [("a", "b")], lambda s, f: "keep paths") == once
+    assert clients.refined(once, [("a", "b")], lambda s, f: "keep names").count(clients.RULES_HEADER) == 1
