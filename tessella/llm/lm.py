@@ -176,7 +176,8 @@ def build(docs: DataFrame, learn: Column, n_tokens: int, text_col: str = "text")
 
     sent = docs.where(learn).select(F.col(text_col).alias("text")).mapInArrow(send, "range long, grams binary")
     cells = np.zeros(size << bits, np.uint64)
-    for row in sent.groupBy("range").applyInArrow(merge, "range long, cells binary").toLocalIterator():
+    parts = stored(sent.groupBy("range").applyInArrow(merge, "range long, cells binary"))  # all at once, then read part by part
+    for row in parts.toLocalIterator():
         cells[row["range"] * size : (row["range"] + 1) * size] = np.frombuffer(bytes(row["cells"]), np.uint64)
     return Filter(bits, cells)
 
