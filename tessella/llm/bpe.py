@@ -73,7 +73,8 @@ def _newer() -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str, pattern: str):
-        self.tokenizer, self.bytes, self.limits = _vocabulary(path)
+        self.path = path
+        self.tokenizer = _vocabulary(path)[0]
         self.pieces = regex.compile(pattern)
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -89,7 +90,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the limits of each text's ids."""
         if len(self.known) > REMEMBERED:
-            self.__init__(self.tokenizer_path, self.pieces.pattern)
+            self.__init__(self.path, self.pieces.pattern)
         cut = [self.split(t) for t in texts]
         known = self.known
         fresh = list({p for c in cut for p in c if p not in known})
@@ -104,14 +105,6 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)]
 
-    tokenizer_path = ""
-
-
-def encoder(path: str, pattern: str) -> Encoder:
-    e = Encoder(path, pattern)
-    e.tokenizer_path = path
-    return e
-
 
 def decode_ids(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the ids back to back, and the byte offsets at which each token starts and the last ends."""
@@ -150,7 +143,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], "token_ids binary"])
 
     def run(batches):
-        e = encoder(path, pattern)
+        e = Encoder(path, pattern)
         for batch in steps(batches, text_col):
             ids, limits = e.encode([t or "" for t in batch.column(text_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, binary_column(ids.astype("<u4"), limits * 4)], [*batch.schema.names, "token_ids"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_name, steps
+from .common import steps
 
 #: Pixels in a row of the frames that hold bytes, and rows of the largest such frame.
 ROW, ROWS = 192, 256

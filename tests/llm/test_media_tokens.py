@@ -129,7 +129,7 @@ def test_bpe_as_tiktoken(odd, empty):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert bpe.digest(empty).count() == 0
     rng = random.Random(1)
-    e = bpe.encoder(public.path("byte_bpe_50k.json"), public.PATTERN)
+    e = bpe.Encoder(public.path("byte_bpe_50k.json"), public.PATTERN)
     odd_texts = ["".join(chr(rng.choice([rng.randrange(32, 0xD7FF), rng.randrange(0x10000, 0x10FFFF), 32, 10, 39, 0x88F, 0x11DE0])) for _ in range(30)) for _ in range(300)]
     ids, limits = e.encode(odd_texts)
     assert [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:], strict=True)] == [encoding.encode_ordinary(t) for t in odd_texts]
