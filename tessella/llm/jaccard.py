@@ -342,3 +342,15 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
 def digest(docs: DataFrame) -> DataFrame:
     """The op9 contract."""
     return join(docs)
+
+
+#: Every pair of documents with a common shingle, compared.
+ORACLE = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {SHINGLE} THEN [len(w) || ':' || array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' '))) END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM g),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT u, v FROM pairs WHERE 100 * common >= {PERCENT} * (n + m - common)),
+e AS (SELECT u, v FROM linked UNION ALL SELECT v, u FROM linked),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE a = doc_id) AS component_id FROM g"""

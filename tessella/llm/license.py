@@ -220,3 +220,33 @@ def digest(docs: DataFrame) -> DataFrame:
         labels(base).alias("base_labels"), labels(F.col("found")).alias("labels"),
         F.when(F.exists("found", lambda x: x["kind"] == "template"), 1.0).when(F.size("found") > 0, 0.5).otherwise(0.0).alias("score"),
     )
+
+
+def _sql_pattern(template: str) -> str:
+    """A template as a regular expression over words that each end in a space."""
+    out, last = ["(?:^| )"], 0
+    for m in [*_MARK.finditer(template), None]:
+        raw = np.frombuffer(template[last : m.start() if m else len(template)].encode(), np.uint8)
+        at = zip(*words(raw, np.array([0, len(raw)]), ALNUM), strict=True)
+        out += [raw[a:b].tobytes().decode().lower() + " " for a, b in at]
+        if m:
+            last = m.end()
+            out.append({"beginOptional": "(?:", "endOptional": ")?"}.get(m[1]) or f"(?:[^ ]+ ){{{m[2]},{m[3]}}}")
+    return "".join(out)
+
+
+def _sql() -> str:
+    found = lambda phrase: "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1)) + ")"
+    bases = ", ".join(f"{found(p)} AS b{k}" for k, p in enumerate(PHRASES))
+    base = [f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values())]
+    more = [f"CASE WHEN regexp_matches(line, '{_sql_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items()]
+    joined = lambda x: f"array_to_string(list_sort(list_filter([{', '.join(x)}], lambda y: y IS NOT NULL)), ',')"
+    places = "list_concat(" * (len(PHRASES) - 1) + "b0" + "".join(f", b{k})" for k in range(1, len(PHRASES)))
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    f AS (SELECT doc_id, len(w) AS n_words, array_to_string(w, ' ') || ' ' AS line, {bases} FROM t),
+    g AS (SELECT doc_id, n_words, {places} AS places, {joined(base)} AS base_labels, {joined(base + more)} AS labels, {joined(more)} AS own FROM f)
+    SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, base_labels, labels,
+    CASE WHEN own <> '' THEN 1.0::DOUBLE WHEN base_labels <> '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM g"""
+
+
+ORACLE = _sql()
