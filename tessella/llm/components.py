@@ -1,4 +1,8 @@
-"""Connected components of links: local forests first, then alternating stars, each round in the shared folder."""
+"""Connected components of links: local forests first, then one forest of what is left, or alternating stars.
+
+Forests leave at most a link for each node of a partition. Where few enough are left for one task, it joins them;
+otherwise nodes move to their smallest neighbours, round by round in the shared folder, until nothing changes.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from .common import stored
 
 #: Links that one local forest takes at a time.
 LOCAL = 2_000_000
+#: Links that one task may join at the end.
+ONE_TASK = 1_000_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +54,16 @@ def _local(links: DataFrame) -> DataFrame:
     return links.select("u", "v").mapInArrow(run, "u long, v long")
 
 
+def _ends(stars: DataFrame) -> DataFrame:
+    ends = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node of the links (u, v) the smallest node it is connected to."""
     edges = stored(_local(links.where("u <> v")).distinct())
+    if edges.count() <= ONE_TASK:
+        return _ends(stored(_local(edges.coalesce(1))))
     while True:
         # large star: larger neighbours go to the smallest of a node and its neighbours
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -64,5 +77,4 @@ def components(links: DataFrame) -> DataFrame:
         if edges.agg(*sums).first() == small.agg(*sums).first():
             break
         edges = small
-    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return ends.unionByName(ends.select(F.col("root").alias("node"), "root").distinct())
+    return _ends(edges)

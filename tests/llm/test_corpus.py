@@ -153,8 +153,9 @@ def test_embeddings_against_brute_force(spark):
     assert embeddings.digest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "one_task"), [(1, 1_000_000), (2, 0)])
+def test_components(spark, seed, one_task, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)  # 0: stars, round by round
     rng = random.Random(seed)
     edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
     root = {}
