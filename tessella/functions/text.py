@@ -17,7 +17,8 @@ def _col(c: ColumnOrName) -> Column:
 def token_count(text: ColumnOrName, tokenizer: str = "ws", path: str | None = None) -> Column:
     """Tokens of a text, 0 for null and empty: `ws` counts runs of non-space, `bpe` the ranks file at `path`."""
     if tokenizer == "ws":
-        return F.coalesce(F.regexp_count(_col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
+        words = F.array_remove(F.split(F.translate(_col(text), "\t\n\x0b\f\r", " " * 5), " "), "")  # cheaper than a pattern
+        return F.coalesce(F.array_size(words), F.lit(0)).cast("long")
     if tokenizer == "bpe":
         return _bpe_counter(path)(_col(text))
     raise ValueError(f"unknown tokenizer {tokenizer}")
