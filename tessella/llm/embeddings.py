@@ -171,3 +171,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 def digest(vectors: DataFrame) -> DataFrame:
     """The op5 contract."""
     return near_duplicates(vectors)
+
+
+#: Every pair of vectors of a label, compared; equal rows only as far as the search finds all links.
+ORACLE = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+e AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.w FROM r JOIN e ON r.b = e.u),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM e WHERE u = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""

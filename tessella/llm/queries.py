@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE, "op4_extendible_shards": shards.ORACLE, "op7_license_scan": license.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE}
+    return {"op2_line_dedup": lines.ORACLE, "op4_extendible_shards": shards.ORACLE, "op5_embedding_neardup": embeddings.ORACLE, "op7_license_scan": license.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE}
