@@ -1,9 +1,11 @@
-"""Language-model scoring: quantised n-gram counts in a log-frequency Bloom filter that every worker holds.
+"""Language-model scoring: quantised n-gram counts in a log-frequency Bloom filter that lies in parts by hash range.
 
 Tokens are words between ASCII white space, A-Z lower-cased, then one end. A count c goes in as levels 1 to
-1 + floor(log2 c); reading probes levels until one is missing. Counts move by hash range: partitions send each range
-sorted hashes, a range merges them and fills its own part of the filter. Exact word counts, for the base score, stay
-in a table: words frequent enough that their number has a bound are broadcast, the others are joined.
+1 + floor(log2 c); reading probes levels until one is missing. The number of parts grows with the tokens and each part
+with its n-grams, so every count is in; no worker holds more than a part. Texts lie in chunks: a chunk sends each range
+its distinct n-grams with their counts, the range merges them, fills its part and sends back the levels that it reads
+for each chunk's n-grams. Exact word counts, for the base score, stay in a table: words frequent enough that their
+number has a bound are broadcast, the others are joined.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chained, hash_word, longs, mix, small_batches, steps, stored, utf8, word_hashes, words
+from .common import binary_column, chained, hash_word, longs, mix, small_batches, steps, stored, utf8, word_hashes, words
 
-#: Bytes of the whole filter at most, and bits for each level of a count.
-FILTER_BYTES, LEVEL_BITS = 32 << 20, 12
+#: Bits of the filter for each level of a count.
+LEVEL_BITS = 12
+#: Bytes of text in a chunk, unless a single text is longer; a row counts as ROW_BYTES more.
+CHUNK_BYTES, ROW_BYTES = 6 << 20, 4
 #: Words that are broadcast with their counts at most: those with a 1/FREQUENT share of all tokens.
 FREQUENT = 1 << 22
 #: Tokens whose n-grams one hash range holds on average.
@@ -94,10 +98,13 @@ class Filter:
     cells: np.ndarray
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        """Expected counts of n-grams by repeated membership probes: level j stands for 2^(j-1) to 2^j - 1."""
-        kept = _ranged(h, self.bits)
-        level = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h))
+        """Expected counts of n-grams."""
+        return expected(self.levels(_ranged(h, self.bits)))
+
+    def levels(self, kept: np.ndarray) -> np.ndarray:
+        """Levels of n-grams by repeated membership probes: level j stands for counts of 2^(j-1) to 2^j - 1."""
+        level = np.zeros(len(kept), np.uint8)
+        alive = np.arange(len(kept))
         size = len(self.cells) >> self.bits
         j = 1
         while len(alive) and size and j < 64:
@@ -107,7 +114,11 @@ class Filter:
             alive = alive[hit]
             level[alive] = j
             j += 1
-        return np.where(level > 0, (1.5 * 2.0 ** (level - 1)) - 0.5, 0.0)
+        return level
+
+
+def expected(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, (1.5 * 2.0 ** (level.astype(np.float64) - 1)) - 0.5, 0.0)
 
 
 def _probe(kept: np.ndarray, level: int | np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +131,13 @@ def _probe(kept: np.ndarray, level: int | np.ndarray, size: int) -> tuple[np.nda
     return place, mask
 
 
+def fitting(counts: np.ndarray) -> int:
+    """Words of a part that has room for all levels of the counts."""
+    return max(1, -(-int((np.floor(np.log2(counts)).astype(np.int64) + 1).sum()) * LEVEL_BITS // 64))
+
+
 def part(counts: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray:
-    """A range's words of the filter. Where the levels of all its n-grams don't fit, those of the lowest counts stay out."""
+    """A range's words of the filter. In fewer than fitting() those of the lowest counts stay out."""
     levels = np.floor(np.log2(counts)).astype(np.int64) + 1
     room = size * 64 // LEVEL_BITS
     used = np.bincount(levels, minlength=1) * np.arange(int(levels.max(initial=0)) + 1)
@@ -136,50 +152,97 @@ def part(counts: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray:
     return cells
 
 
-def build(docs: DataFrame, learn: Column, n_tokens: int, text_col: str = "text") -> Filter:
-    """The filter of all words and bigrams of the texts learned from."""
-    bits = max(0, math.ceil(math.log2(max(1, n_tokens) / RANGE_TOKENS)))
-    size = max(1, min(FILTER_BYTES // 8 >> bits, (RANGE_TOKENS * 4 * LEVEL_BITS) // 64))
+def chunks(docs: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, ids, learn, sizes, raw): texts of up to CHUNK_BYTES in one row, back to back and compressed; chunk numbers its first text."""
 
-    def send(batches):
-        held: list[np.ndarray] = []
-
-        def parts():
-            kept, n = np.unique(np.concatenate(held), return_counts=True)
-            times = (n + 254) // 255  # counts travel as bytes, large ones in several
-            n = np.where(np.arange(int(times.sum())) + 1 == np.repeat(np.cumsum(times), times), np.repeat(n - (times - 1) * 255, times), 255).astype(np.uint8)
-            kept = np.repeat(kept, times)
-            limits = np.searchsorted(kept, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEPT))
-            low = (kept & np.uint64((1 << KEPT) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            both = np.concatenate([low, n[:, None]], axis=1)
-            ranges = [k for k in range(1 << bits) if limits[k + 1] > limits[k]]
-            for k in range(0, len(ranges), 64):
-                own = ranges[k : k + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([both[limits[r] : limits[r + 1]].tobytes() for r in own], pa.binary())], ["range", "grams"])
+    def run(batches):
+        from pyspark import TaskContext
 
+        serial = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
+
+        def chunk():
+            ids, learn, sizes = (pa.concat_arrays(x) for x in list(zip(*held, strict=True))[:3])
+            raw = pa.compress(b"".join(x[3] for x in held), codec="zstd", asbytes=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, learn, sizes)]
+            return pa.RecordBatch.from_arrays([pa.array([serial]), *lists, pa.array([raw], pa.binary())], ["chunk", "ids", "learn", "sizes", "raw"]), len(ids)
+
+        n = 0
         for batch in steps(batches, "text"):
-            h = tokens(*utf8(batch.column("text")))[0]
-            held += [_ranged(chained(h, 1), bits), _ranged(bigrams(h), bits)]
-            if sum(map(len, held)) > 6_000_000:
-                yield from parts()
+            raw, at = utf8(batch.column("text"))
+            more = len(raw) + ROW_BYTES * batch.num_rows
+            if held and n + more > CHUNK_BYTES:
+                out, rows = chunk()
+                yield out
+                serial += rows
                 held.clear()
+                n = 0
+            held.append((batch.column("id"), batch.column("learn"), pa.array(np.diff(at), pa.int64()), raw.tobytes()))
+            n += more
         if held:
-            yield from parts()
+            yield chunk()[0]
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, learn array<boolean>, sizes array<long>, raw binary")
+
+
+def _read(sizes: pa.ListScalar, raw: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's token hashes, and the number of tokens of each of its texts."""
+    at = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+    texts = binary_column(pa.decompress(raw.as_buffer(), decompressed_size=int(at[-1]), codec="zstd", asbytes=True), at)
+    got = [tokens(*utf8(x.column("text"))) for x in steps(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text")]
+    return np.concatenate([h for h, _ in got]), np.concatenate([np.diff(limits) for _, limits in got])
+
 
-    def merge(key, rows):
-        whole = np.concatenate([np.frombuffer(x or b"", np.uint8).reshape(-1, 6) for x in rows.column("grams").to_pylist()])
-        wide = np.zeros((len(whole), 8), np.uint8)
-        wide[:, :5] = whole[:, :5]
+def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's code with the distinct tokens, and the same of bigrams."""
+    return *pd.factorize(h), *pd.factorize(bigrams(h))
+
+
+def _kept(kinds: np.ndarray, pair_kinds: np.ndarray, bits: int) -> np.ndarray:
+    """What is kept of the hashes of words, then of bigrams."""
+    return np.concatenate([_ranged(chained(kinds, 1), bits), _ranged(pair_kinds, bits)])
+
+
+def answered(chunked: DataFrame, bits: int) -> DataFrame:
+    """(chunk, range, levels): a byte for each distinct n-gram of the chunk in one of 2^bits ranges, in the order of what is kept of its hash.
+
+    Levels are of the counts in all texts learned from.
+    """
+
+    def send(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h, size = _read(batch.column("sizes")[row], batch.column("raw")[row])
+                teach = np.repeat(batch.column("learn")[row].values.to_numpy(zero_copy_only=False).astype(np.int64), size)
+                codes, kinds, pairs, pair_kinds = _grams(h)
+                kept, where = np.unique(_kept(kinds, pair_kinds, bits), return_inverse=True)
+                n = np.bincount(where, np.concatenate([np.bincount(codes, teach), np.bincount(pairs, teach)]))
+                limits = np.searchsorted(kept, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEPT))
+                low = (kept & np.uint64((1 << KEPT) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                both = np.concatenate([low, n.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+                ranges = np.flatnonzero(limits[1:] > limits[:-1])
+                for k in range(0, len(ranges), 256):
+                    own = ranges[k : k + 256]
+                    # bytes of the same place lie together: most repeat
+                    grams = pa.array([both[limits[r] : limits[r + 1]].T.tobytes() for r in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("chunk")[row].as_py())), pa.array(own), grams], ["chunk", "range", "grams"])
+
+    def answer(key, rows):
+        sent = [np.frombuffer(x, np.uint8).reshape(9, -1) for x in rows.column("grams").to_pylist()]
+        whole = np.concatenate(sent, axis=1)
+        wide = np.zeros((whole.shape[1], 8), np.uint8)
+        wide[:, :5] = whole[:5].T
         kept, where = np.unique(wide.view("<u8").reshape(-1), return_inverse=True)
-        cells = part(np.bincount(where, whole[:, 5]), kept + np.uint64(key[0].as_py() << KEPT), size)
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
+        counts = np.bincount(where, np.ascontiguousarray(whole[5:].T).view("<u4").reshape(-1)).astype(np.int64)
+        taught = counts > 0
+        cells = part(counts[taught], kept[taught], fitting(counts[taught]))
+        levels = Filter(0, cells).levels(kept)[where]
+        return pa.table({"chunk": rows.column("chunk"), "range": rows.column("range"), "levels": binary_column(levels, np.cumsum([0, *(x.shape[1] for x in sent)]))})
 
-    sent = docs.where(learn).select(F.col(text_col).alias("text")).mapInArrow(send, "range long, grams binary")
-    cells = np.zeros(size << bits, np.uint64)
-    parts = stored(sent.groupBy("range").applyInArrow(merge, "range long, cells binary"))  # all at once, then read part by part
-    for row in parts.toLocalIterator():
-        cells[row["range"] * size : (row["range"] + 1) * size] = np.frombuffer(bytes(row["cells"]), np.uint64)
-    return Filter(bits, cells)
+    grams = chunked.select("chunk", "learn", "sizes", "raw").mapInArrow(send, "chunk long, range long, grams binary")
+    return grams.groupBy("range").applyInArrow(answer, "chunk long, range long, levels binary")
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,46 +259,47 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     below = n + 0.1 * (v + 1)
     logs = np.log10((frequent["taught"].to_numpy(np.float64) + 0.1) / below)
     known = frequent["taught"].to_numpy(np.int64) > 0
-    sent = docs.sparkSession.sparkContext.broadcast((build(docs, learn, n, text_col), keys, logs, known))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        grams, keys, logs, known = sent.value
-        serial = TaskContext.get().partitionId() << 33
-        for batch in steps(batches, "text"):
-            h, limits = tokens(*utf8(batch.column("text")))
-            size, rows = np.diff(limits), batch.num_rows
-            codes, kinds = pd.factorize(h)
-            signed = kinds.view(np.int64)
-            at = np.minimum(np.searchsorted(keys, signed), max(0, len(keys) - 1))
-            common = keys[at] == signed if len(keys) else np.zeros(len(kinds), bool)
-            base = np.where(common, logs[at] if len(keys) else 0.0, 0.0)
-            seen = common & (known[at] if len(keys) else False)
-            owner = np.repeat(np.arange(rows), size)
-            once = grams.count(chained(kinds, 1))
-            pairs, pair_kinds = pd.factorize(bigrams(h))
-            both = grams.count(pair_kinds)[pairs]
-            word = once[codes]
-            end = grams.count(chained(np.array([END]), 1))[0]
-            context = np.concatenate([[end], word[:-1]])
-            context[limits[:-1]] = end
-            smooth = (word + 0.1) / below
-            p = np.where(context > 0, BIGRAM * np.minimum(1.0, both / np.maximum(context, 1.0)) + (1 - BIGRAM) * smooth, smooth)
-            told = [np.bincount(owner, x, rows) for x in (seen[codes], base[codes], np.log10(np.minimum(p, 1.0)))]
-            ids = np.arange(serial, serial + rows)
-            serial += rows
-            left = np.flatnonzero(~common[codes])
-            m = len(left)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids, ids[owner[left]]])), pa.concat_arrays([batch.column("id"), pa.nulls(m, batch.schema.field("id").type)]), longs(np.concatenate([mix(ids.astype(np.uint64)), h[left]])),
-                 pa.concat_arrays([pa.array(size.astype(np.int64)), none]), pa.concat_arrays([pa.array(told[0].astype(np.int64)), none]), pa.array(np.concatenate([told[1], np.zeros(m)])), pa.array(np.concatenate([told[2], np.zeros(m)]))],
-                ["row", "id", "word", "n_tokens", "n_known", "base", "score"],
-            )
-
+    sent = docs.sparkSession.sparkContext.broadcast((keys, logs, known))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, word long, n_tokens long, n_known long, base double, score double")
+    bits = max(0, math.ceil(math.log2(max(1, n) / RANGE_TOKENS)))
+
+    def run(texts, answers):
+        keys, logs, known = sent.value
+        h, size = _read(texts.column("sizes")[0], texts.column("raw")[0])
+        given = texts.column("ids")[0].values
+        rows, limits = len(size), np.concatenate([[0], np.cumsum(size)])
+        codes, kinds, pairs, pair_kinds = _grams(h)
+        _, where = np.unique(_kept(kinds, pair_kinds, bits), return_inverse=True)
+        order = np.argsort(answers.column("range").to_numpy())
+        told = expected(np.frombuffer(b"".join(answers.column("levels").take(pa.array(order)).to_pylist()), np.uint8))
+        signed = kinds.view(np.int64)
+        at = np.minimum(np.searchsorted(keys, signed), max(0, len(keys) - 1))
+        common = keys[at] == signed if len(keys) else np.zeros(len(kinds), bool)
+        base = np.where(common, logs[at] if len(keys) else 0.0, 0.0)
+        seen = common & (known[at] if len(keys) else False)
+        owner = np.repeat(np.arange(rows), size)
+        once, both = told[where[: len(kinds)]], told[where[len(kinds) :]][pairs]
+        word = once[codes]
+        end = word[-1]  # every text has one
+        context = np.concatenate([[end], word[:-1]])
+        context[limits[:-1]] = end
+        smooth = (word + 0.1) / below
+        p = np.where(context > 0, BIGRAM * np.minimum(1.0, both / np.maximum(context, 1.0)) + (1 - BIGRAM) * smooth, smooth)
+        sums = [np.bincount(owner, x, rows) for x in (seen[codes], base[codes], np.log10(np.minimum(p, 1.0)))]
+        serial = texts.column("chunk")[0].as_py()
+        ids = np.arange(serial, serial + rows)
+        left = np.flatnonzero(~common[codes])
+        m = len(left)
+        none = pa.nulls(m, pa.int64())
+        return pa.Table.from_arrays(
+            [pa.array(np.concatenate([ids, ids[owner[left]]])), pa.concat_arrays([given, pa.nulls(m, given.type)]), longs(np.concatenate([mix(ids.astype(np.uint64)), h[left]])),
+             pa.concat_arrays([pa.array(size.astype(np.int64)), none]), pa.concat_arrays([pa.array(sums[0].astype(np.int64)), none]), pa.array(np.concatenate([sums[1], np.zeros(m)])), pa.array(np.concatenate([sums[2], np.zeros(m)]))],
+            ["row", "id", "word", "n_tokens", "n_known", "base", "score"],
+        )
+
+    chunked = stored(chunks(docs, learn, id_col, text_col))
+    told = chunked.select("chunk", "ids", "sizes", "raw").groupBy("chunk").cogroup(answered(chunked, bits).groupBy("chunk"))
+    rows = told.applyInArrow(run, f"row long, id {kind}, word long, n_tokens long, n_known long, base double, score double")
     taught = F.coalesce("taught", F.lit(0))
     rare = F.col("n_tokens").isNull()
     rows = rows.join(counts.select("word", "taught"), "word", "left").select(

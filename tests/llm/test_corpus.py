@@ -195,6 +195,37 @@ def test_lm_rare_words_are_joined(spark, sf, monkeypatch):
     assert {r.doc_id: (r.n_known, round(r.base_score, 5)) for r in lm.digest(df).collect()} == want
 
 
+def test_lm_leaves_no_count_out(docs, monkeypatch):
+    """Every n-gram is read with its level at least, however many there are, from chunks and ranges of any number."""
+    monkeypatch.setattr(lm, "RANGE_TOKENS", 512)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000, raising=False)
+    monkeypatch.setattr(lm, "FILTER_BYTES", 4096, raising=False)  # a bound on the whole filter, if there is one
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    ids = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    words, pairs = Counter(), Counter()
+    for i in ids:
+        t = _tokens(texts[i])
+        words.update(t)
+        pairs.update(zip([None, *t], t, strict=False))
+    n, below = sum(words.values()), sum(words.values()) + 0.1 * (len(words) + 1)
+    level = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0
+
+    def slow(text):
+        out, before = 0.0, None
+        for w in _tokens(text):
+            smooth = (level(words[w]) + 0.1) / below
+            c = level(words[before])
+            out += math.log10(min(1.0, 0.6 * min(1.0, level(pairs[before, w]) / c) + 0.4 * smooth if c else smooth))
+            before = w
+        return out
+
+    got = {r.doc_id: r for r in lm.digest(docs(texts).repartition(3)).collect()}
+    assert len(got) == len(texts) and {r.train_tokens for r in got.values()} == {n}
+    off = [abs(got[i].score - slow(texts[i])) / max(1, got[i].n_tokens) for i in range(len(texts))]
+    assert sum(x < 1e-6 for x in off) > 0.7 * len(off) and sum(off) / len(off) < 0.05  # else a level that a filter tells too much
+
+
 def test_bloom_filter_counts():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 20_000).astype(np.uint64)
