@@ -33,10 +33,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similarity links, directly or through others, the one of the smallest id."""
-    groups = jaccard.join(docs, SHINGLE, PERCENT)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stored(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of rows that similarity links, directly or through others, the one of the smallest id, null ids last.
+
+    Each row is a node of its own, so rows that only share an id, or have none, stay.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    part, place = F.call_function("shiftright", "_row", F.lit(33)), F.col("_row").bitwiseAND((1 << 33) - 1)
+    parts = (rows.agg(F.max(part)).first()[0] or 0) + 1
+    rows = rows.withColumn("_row", place * parts + part)  # join() marks nodes by their low bits
+    groups = jaccard.join(rows, SHINGLE, PERCENT, "_row")
+    ids = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(ids)["_row"].alias("_row"))
+    return rows.join(stored(first.select("_row")), "_row", "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
         if done > 16 * STEP_BYTES:
             done = 0
             _release()
+    _release()  # idle workers keep nothing
 
 
 def binary_column(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:

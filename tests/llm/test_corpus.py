@@ -357,3 +357,17 @@ def test_pipeline_stages_take_odd_rows(spark, odd, empty):
     copies = odd.where("doc_id = 6").select("doc_id", "text", "lang", "source", "n_chars")
     copies = copies.unionByName(copies.withColumn("doc_id", F.lit(99).cast("long"))).unionByName(copies)
     assert corpus_pipeline.drop_near_copies(spark, copies, "").count() == 1
+
+
+def test_near_copies_by_row(spark):
+    """Null and repeated ids: only what is near another row goes, whatever the ids."""
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    near = lambda t: t + " end"
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(3, a), (7, near(a)), (7, b), (None, c), (None, d), (None, near(d)), (None, near(b)), (5, e), (5, e), (9, f), (4, near(f)), (-1, text())]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (df, df.repartition(5)):
+        got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+        one = next(t for i, t in got if i is None and t in (d, near(d)))  # of null ids, either
+        assert got == Counter([(3, a), (7, b), (None, c), (None, one), (5, e), (4, near(f)), rows[-1]])
