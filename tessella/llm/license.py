@@ -154,8 +154,12 @@ class Scanner:
         self.phrases = [(label, np.array([hash_word(w) for w in p.split()], np.uint64)) for p, label in phrases.items()]
         self.by_pair: dict[tuple[int, int], list[Automaton]] = {}
         self.by_first: dict[int, list[Automaton]] = {}
+        self.anywhere: list[Automaton] = []  # those that may begin with any word
         for a in self.automata:
             begin = a.closed({0})
+            if any(a.any[s] >= 0 for s in begin):
+                self.anywhere.append(a)
+                continue
             for w in {w for s in begin for w in a.step[s]}:
                 states = a.after(begin, w)
                 free = any(a.any[s] >= 0 for s in states) or len(a.step) - 1 in states
@@ -184,10 +188,12 @@ class Scanner:
                 found[text[p]].append(("phrase", label, int(p - limits[text[p]]), int(p - limits[text[p]] + n)))
         near = np.isin(h, self.firsts)
         near[:-1] |= np.isin(h[:-1], self.pairs) & np.isin(h[1:], self.seconds)
+        if self.anywhere:
+            near[:] = True
         for p in np.flatnonzero(near):
             first = int(h[p])
             t = text[p]
-            tried = [*self.by_first.get(first, ()), *(self.by_pair.get((first, int(h[p + 1])), ()) if p + 1 < limits[t + 1] else ())]
+            tried = [*self.anywhere, *self.by_first.get(first, ()), *(self.by_pair.get((first, int(h[p + 1])), ()) if p + 1 < limits[t + 1] else ())]
             for a in tried:
                 reach = min(int(limits[t + 1]), int(p) + len(a.step))
                 if n := a.match([int(x) for x in h[p:reach]]):

@@ -181,3 +181,11 @@ def test_template_markup():
     assert [f[1] for f in scanner.scan(raw, np.array([0, len(raw)]))[1][0]].count("mit") >= 1
     changed = np.frombuffer(mit.replace("sublicense", "relicense").encode(), np.uint8)
     assert not [f for f in scanner.scan(changed, np.array([0, len(changed)]))[1][0] if f[1] == "mit"]
+
+
+def test_license_template_that_begins_with_any_words():
+    raw = np.frombuffer(b"One two alpha beta. alpha beta", np.uint8)
+    at = np.array([0, 20, len(raw)])
+    for begin, want in (("<<var;words=0-1>>", [(1, 4), (2, 4)]), ("<<var;words=1-2>>", [(0, 4), (1, 4)]), ("<<beginOptional>><<var;words=2-2>><<endOptional>>", [(0, 4), (2, 4)])):
+        found = license.Scanner({"t": begin + "alpha beta"}, {}).scan(raw, at)[1]
+        assert [x[2:] for x in found[0]] == want and [x[2:] for x in found[1]] == ([] if "1-2" in begin else [(0, 2)])
