@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
+import operator
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import sized_summary, token_count
 
@@ -78,22 +83,25 @@ def replay_plain(turns: DataFrame, system_tokens: int, key: str = "conv_id") ->
     return rows.groupBy(key).agg(F.count(F.when(own, 1)).alias("prompts"), F.coalesce(F.sum(F.when(own, F.col("sent"))), F.lit(0)).alias("input"), F.coalesce(F.sum(F.when(own, F.col("tokens"))), F.lit(0)).alias("output"))
 
 
-def prompt_blocks(turns: DataFrame, system_tokens: int, key: str = "conv_id") -> DataFrame:
-    """(key, prompt, block, tokens, hash) without compression; block 0 is the system text."""
-    rows = turns.withColumn("tokens", token_count("content")).withColumn("hash", F.sha2(F.concat_ws("\0", "role", F.coalesce("content", F.lit(""))), 256))
+def plain_prompts(turns: DataFrame, system_tokens: int, key: str = "conv_id") -> DataFrame:
+    """(key, prompt, blocks, cached_blocks, cached, fresh) of every prompt without compression.
+
+    Such a prompt extends the one before, so running sums tell what a prefix cache holds; no prompt is written out.
+    """
     order = Window.partitionBy(key).orderBy("step")
-    rows = rows.withColumn("n", F.row_number().over(order))
-    prompts = rows.where(F.col("role") == "assistant").select(F.col(key).alias("_k"), F.col("n").alias("_at"), F.row_number().over(order).alias("prompt"))
-    body = rows.join(prompts, (F.col(key) == F.col("_k")) & (F.col("n") < F.col("_at"))).select(key, "prompt", F.col("n").alias("block"), "tokens", "hash")
-    return body.unionByName(prompts.select(F.col("_k").alias(key), "prompt", F.lit(0).alias("block"), F.lit(system_tokens).cast("long").alias("tokens"), F.lit("system").alias("hash")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = turns.withColumn("sent", F.coalesce(F.sum(token_count("content")).over(before), F.lit(0)) + system_tokens).withColumn("blocks", F.row_number().over(order))
+    rows = rows.where(F.col("role") == "assistant").select(key, "step", "blocks", "sent")  # the system text and the turns before this one
+    last = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0))
+    return rows.select(key, F.row_number().over(order).alias("prompt"), "blocks", last("blocks").alias("cached_blocks"), last("sent").alias("cached"), (F.col("sent") - last("sent")).alias("fresh"))
 
 
 def cache_split(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """blocks with `cached`: this block and all before it equal those of the prompt before."""
-    prior = blocks.select(*keys, (F.col("prompt") + 1).alias("prompt"), "block", F.col("hash").alias("_before"))
+    """blocks (keys, prompt, block, tokens, hash) with `cached`: this block and all before it equal those of the prompt before."""
+    place = Window.partitionBy(*keys, "block").orderBy("prompt")
+    same = (F.lag("hash").over(place) == F.col("hash")) & (F.lag("prompt").over(place) == F.col("prompt") - 1)
     upto = Window.partitionBy(*keys, "prompt").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.join(prior, [*keys, "prompt", "block"], "left").withColumn("_same", F.coalesce(F.col("hash") == F.col("_before"), F.lit(False)).cast("int"))
-    return rows.withColumn("cached", F.min("_same").over(upto) == 1).drop("_same", "_before")
+    return blocks.withColumn("_same", F.coalesce(same, F.lit(False)).cast("int")).withColumn("cached", F.min("_same").over(upto) == 1).drop("_same")
 
 
 def cache_totals(split: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,92 +120,120 @@ def size_summary(text: str, words: int) -> str:
     return " ".join([head, *kept]) if kept else head
 
 
-class Replay:
-    """One trajectory under one budget: what each prompt holds, and what the summarizer reads and writes."""
-
-    def __init__(self, budget: int | None, summarize: Callable[[str], str], count: Callable[[str], int], min_tokens: int = 0):
-        self.budget, self.summarize, self.count, self.min_tokens = budget, summarize, count, min_tokens
-        self.turns: list[dict] = []
-        self.prompts: list[list[tuple[int, str]]] = []
-        self.output = self.overhead = self.summarized = self.dropped = 0
+class Trajectory:
+    """Token sums of a trajectory from which every budget's replay follows.
 
-    def block(self, t: dict) -> tuple[int, str]:
-        parts = [t["role"], t["content"], *(x for c in t.get("calls", ()) for x in c)]
-        size = self.count(t["content"]) + sum(self.count(x) for c in t.get("calls", ()) for x in c)
-        return size, hashlib.sha256("".join(p + "\0" for p in parts).encode()).hexdigest()
+    A pass works on observations from the oldest on, so what it has summarized and what it has dropped are two prefixes
+    of the list of observations. Sums over prefixes say what either has saved; a replay moves two marks and adds up.
+    """
 
-    def run(self, messages: list[dict], system_tokens: int) -> Replay:
-        place = 0
-        while place < len(messages):
-            m = dict(messages[place])
-            place += 1
-            if m["role"] != "assistant":
-                self.turns.append(m)
-                continue
-            self.prompts.append([(system_tokens, "system"), *map(self.block, self.turns)])
-            self.output += self.block(m)[0]
-            self.turns.append(m)
-            while place < len(messages) and messages[place]["role"] == "tool":
-                self.turns.append(dict(messages[place]))
-                place += 1
-            if self.budget is not None and self.budget > 0:
-                self.compress()
-        return self
-
-    def compress(self) -> None:
-        sizes = [self.count(t["content"]) for t in self.turns]
-        total = sum(sizes)
-        goal = next((i for i, t in enumerate(self.turns) if t["role"] == "user"), -1)
-        action = max(i for i, t in enumerate(self.turns) if t["role"] == "assistant")
-        free = [i for i in range(action) if i != goal and self.turns[i]["role"] == "tool" and self.turns[i]["content"] != MARKER]
-        for i in free:
-            t = self.turns[i]
-            if total <= self.budget:
-                return
-            if t.get("compressed") or (self.min_tokens > 0 and sizes[i] <= self.min_tokens):
+    def __init__(self, is_action, is_tool, size, calls, short, fixed, min_tokens: int = 0):
+        size, short = np.asarray(size, np.int64), np.asarray(short, np.int64)
+        block = size + np.asarray(calls, np.int64)
+        self.actions = np.flatnonzero(is_action)
+        self.output = int(block[self.actions].sum())
+        self.sent = np.concatenate([[0], np.cumsum(block)])  # tokens of all turns before one, as prompts hold them
+        told = np.concatenate([[0], np.cumsum(size)])  # the same of contents alone, which budgets are about
+        stop = np.append(np.flatnonzero(~np.asarray(is_tool, bool)), len(size))
+        self.told = told[stop[np.searchsorted(stop, self.actions, "right")]]  # after the observations of each action
+        self.tools = np.flatnonzero(np.asarray(is_tool, bool) & ~np.asarray(fixed, bool))
+        self.open = np.searchsorted(self.tools, self.actions)  # observations that the pass after an action may touch
+        size, short = size[self.tools], short[self.tools]
+        asked = size > min_tokens if min_tokens > 0 else np.ones(len(size), bool)
+        saving = np.where(asked, np.maximum(size - short, 0), 0)
+        sums = lambda x: [0, *np.cumsum(x).tolist()]
+        self.saved, self.shorter, self.read = sums(saving), sums(saving > 0), sums(np.where(asked, size + short, 0))
+        self.gain = (size - saving - MARKER_TOKENS).tolist()
+        self.gone = sums(self.gain)
+
+    def plain(self, system_tokens: int) -> tuple[int, int]:
+        """Input and cached tokens without compression."""
+        sent = self.sent[self.actions] + system_tokens
+        return int(sent.sum()), int(sent[:-1].sum())
+
+    def replay(self, budget: int, system_tokens: int) -> tuple[int, int, int, int, int]:
+        """Input, cached and summarizer's tokens, summarized and dropped observations under a budget."""
+        total = reused = held = done = cut = 0
+
+        def kept(turn: int, summarized: int, dropped: int) -> int:
+            return system_tokens + int(self.sent[turn]) - self.saved[summarized] - self.gone[dropped]
+
+        for action, end, reach in zip(self.actions.tolist(), self.told.tolist(), self.open.tolist(), strict=True):
+            reused += held
+            total += (held := kept(action, done, cut))  # the next prompt begins like this one, unless a pass rewrites some of it
+            over = end - self.saved[done] - self.gone[cut] - budget
+            if budget <= 0 or over <= 0:
                 continue
-            short = self.summarize(t["content"])
-            self.overhead += sizes[i] + self.count(short)
-            t["compressed"] = True
-            if (n := self.count(short)) < sizes[i]:
-                total += n - sizes[i]
-                t["content"], sizes[i] = short, n
-                self.summarized += 1
-        for i in free:
-            if total <= self.budget:
-                return
-            total += self.count(MARKER) - sizes[i]
-            self.turns[i]["content"] = MARKER
-            self.dropped += 1
+            first = len(self.tools)
+            if done < reach:
+                upto = bisect.bisect_left(self.saved, self.saved[done] + over, done, reach)
+                if self.shorter[upto] > self.shorter[done]:
+                    first = bisect.bisect_right(self.shorter, self.shorter[done]) - 1
+                over -= self.saved[upto] - self.saved[done]
+                done = upto
+            if over > 0 and cut < reach:
+                first = min(first, cut)
+                while over > 0 and cut < reach:
+                    over -= self.gain[cut]
+                    cut += 1
+            if first < len(self.tools):
+                held = kept(int(self.tools[first]), min(done, first), min(cut, first))
+        return total, reused, self.read[done], self.shorter[done], cut
+
+
+def squeeze(sizes: list[int], free: list[int], fresh: set[int], budget: int, shorten: Callable[[int], int], marker: int = MARKER_TOKENS) -> tuple[list[int], list[int]]:
+    """What a pass over live turns does: places that took their summary, and places to drop.
+
+    sizes: tokens of every turn; free: places a pass may touch, oldest first; fresh: those of them not yet summarized.
+    `shorten` asks for the summary of a place and gives its tokens; it is called only while the budget is exceeded.
+    """
+    if budget <= 0:
+        return [], []
+    size = dict(enumerate(sizes))
+    over = sum(sizes) - budget
+    shorter: list[int] = []
+    asked = (p for p in free if p in fresh)
+    while over > 0 and (place := next(asked, None)) is not None:
+        if (less := size[place] - shorten(place)) > 0:
+            size[place] -= less
+            over -= less
+            shorter.append(place)
+    left = itertools.accumulate((size[p] - marker for p in free), operator.sub, initial=over)
+    return shorter, [p for p, more in zip(free, itertools.takewhile(lambda x: x > 0, left), strict=False)]
 
 
 def replay(turns: DataFrame, budgets: DataFrame, system_tokens: int, words: int = 30, key: str = "conv_id", min_tokens: int = 0) -> DataFrame:
-    """(key, budget, input, output, overhead, cached, fresh, summarized, dropped, engaged); budget 0: not compressed.
+    """(key, budget, input, output, overhead, cached, fresh, summarized, dropped, engaged, base_input, base_cached); budget 0: not compressed.
 
-    Histories carry what was compressed from turn to turn, so each is folded in one pass; only sums leave the fold.
-    turns: key, step, role, content.
+    turns: key, step, role, content[, call_tokens]. Texts stay in the JVM, which counts their tokens and those of their
+    summaries; a trajectory's counts go to Python once and give every budget, and the base without compression.
     """
-    import pandas as pd
-
-    names = [key, "budget", "input", "output", "overhead", "cached", "fresh", "summarized", "dropped", "engaged"]
-
-    def one(group, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        messages = [{"role": r, "content": c or ""} for r, c in zip(rows.role, rows.content, strict=True)]
-        out = []
-        for budget in sorted({int(b) for b in rows.budgets.iloc[0]}) if len(rows) else []:
-            r = Replay(budget, lambda t: size_summary(t, words), count_words, min_tokens).run(messages, system_tokens)
-            cached = total = 0
-            before: list = []
-            for prompt in r.prompts:
-                same = next((i for i, (a, b) in enumerate(zip(prompt, before, strict=False)) if a[1] != b[1]), min(len(prompt), len(before)))
-                cached += sum(n for n, _ in prompt[:same])
-                total += sum(n for n, _ in prompt)
-                before = prompt
-            out.append((group[0], budget, total, r.output, r.overhead, cached, total - cached, r.summarized, r.dropped, r.summarized + r.dropped > 0))
-        return pd.DataFrame(out, columns=names)
-
-    every = budgets.agg(F.sort_array(F.collect_set(F.col("budget").cast("int"))).alias("budgets"))
+    content = F.coalesce(F.col("content"), F.lit(""))
+    tool = F.col("role") == "tool"
+    calls = F.col("call_tokens") if "call_tokens" in turns.columns else F.lit(0)
+    facts = F.struct(
+        "step", F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("is_action"), F.coalesce(tool, F.lit(False)).alias("is_tool"), token_count(content).alias("size"), calls.cast("long").alias("calls"),
+        F.when(tool, token_count(sized_summary(content, words))).otherwise(0).cast("long").alias("short"), (content == MARKER).alias("fixed"),
+    )
     kind = turns.schema[key].dataType.simpleString()
-    rows = turns.select(key, "step", "role", "content").join(F.broadcast(every), how="cross")
-    return rows.groupBy(key).applyInPandas(one, f"{key} {kind}, budget int, " + ", ".join(f"{n} long" for n in names[2:9]) + ", engaged boolean")
+    every = budgets.agg(F.sort_array(F.collect_set(F.col("budget").cast("int"))).alias("budgets"))
+    rows = turns.groupBy(key).agg(F.array_sort(F.collect_list(facts)).alias("turns")).crossJoin(F.broadcast(every))  # budgets are one row
+
+    def fold(batches):
+        for batch in batches:
+            limits = np.concatenate([[0], np.cumsum(batch.column("turns").value_lengths().to_numpy())]).tolist()
+            flat = batch.column("turns").flatten()
+            columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("is_action", "is_tool", "size", "calls", "short", "fixed")]
+            out = []
+            for k, name, wanted in zip(range(batch.num_rows), batch.column(key).to_pylist(), batch.column("budgets").to_pylist(), strict=True):
+                own = Trajectory(*(c[limits[k] : limits[k + 1]] for c in columns), min_tokens=min_tokens)
+                base, base_cached = own.plain(system_tokens)
+                for budget in wanted:
+                    total, cached, read, shorter, cut = own.replay(budget, system_tokens)
+                    out.append((name, budget, total, own.output, read, cached, total - cached, shorter, cut, shorter + cut > 0, base, base_cached))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t.type) for c, t in enumerate(arrow)], schema=arrow)
+
+    names = ["input", "output", "overhead", "cached", "fresh", "summarized", "dropped"]
+    schema = f"{key} {kind}, budget int, " + ", ".join(f"{n} long" for n in names) + ", engaged boolean, base_input long, base_cached long"
+    arrow = pa.schema([(key, to_arrow_type(turns.schema[key].dataType)), ("budget", pa.int32()), *((n, pa.int64()) for n in names), ("engaged", pa.bool_()), ("base_input", pa.int64()), ("base_cached", pa.int64())])
+    return rows.mapInArrow(fold, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cost import net_cost, priced
+from ..functions.cost import PRICES, cache_net_cost, hit_rate, net_cost, priced, reduction
 
 #: Token buckets in report order.
 BUCKETS = ("system", "history", "retrieved_code", "output", "compression")
@@ -107,3 +107,30 @@ def contrastive_pairs(runs: DataFrame) -> DataFrame:
     base = first_by(runs.where((F.col("arm") == "baseline") & F.col("success")), ["task_id"], F.asc("place")).select("task_id", F.col("place").alias("base_place"))
     other = first_by(runs.where((F.col("arm") == "treatment") & ~F.col("success")), ["task_id"], F.asc("place")).select("task_id", F.col("place").alias("treat_place"))
     return base.join(other, "task_id")
+
+
+def replay_sweep(rows: DataFrame, model: str, summarizer: str) -> DataFrame:
+    """Per budget of history.replay: token reductions as means over trajectories, the cost reduction both of the sums and as a mean.
+
+    Input and output are priced alike; the summarizer's tokens at its input price.
+    """
+    usd = PRICES[model][0] / 1e6
+    gross, whole = F.col("input") + F.col("output"), F.col("base_input") + F.col("output")
+    now, base = gross * usd + F.col("overhead") * (PRICES[summarizer][0] / 1e6), whole * usd
+    return rows.groupBy("budget").agg(
+        F.avg(reduction(whole, gross)).alias("gross_reduction"), F.avg(reduction(whole, gross + F.col("overhead"))).alias("net_reduction"), reduction(F.sum(base), F.sum(now)).alias("net_cost_reduction"),
+        F.avg(reduction(base, now)).alias("mean_cost_reduction"), F.avg("overhead").alias("mean_overhead"), F.count(F.when(F.col("engaged"), 1)).alias("engaged"), F.count("*").alias("trajectories"),
+    )
+
+
+def cache_sweep(rows: DataFrame, model: str, summarizer: str, shares: dict[str, float]) -> DataFrame:
+    """Per budget of history.replay: mean hit rates, and mean cost reductions where cached input costs a share of its price."""
+    prices = [F.lit(x) for x in PRICES[model]]
+    fresh = F.col("base_input") - F.col("base_cached")
+    cuts = []
+    for name, share in shares.items():
+        base = cache_net_cost(fresh, F.col("base_cached"), F.col("output"), share, *prices, F.lit(0), F.lit(0.0))
+        now = cache_net_cost(F.col("fresh"), F.col("cached"), F.col("output"), share, *prices, F.col("overhead"), F.lit(PRICES[summarizer][0]))
+        cuts.append(F.avg(reduction(base, now)).alias(f"{name}_reduction"))
+    hits = [F.avg(hit_rate(F.col("base_cached"), fresh)).alias("base_hit"), F.avg(hit_rate(F.col("cached"), F.col("fresh"))).alias("treat_hit")]
+    return rows.groupBy("budget").agg(*hits, *cuts, F.count(F.when(F.col("engaged"), 1)).alias("engaged"))

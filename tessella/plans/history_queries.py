@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.cost import PRICES, cache_net_cost, hit_rate, reduction
-from ..functions.text import sized_summary
+from ..functions.cost import PRICES, hit_rate
+from ..functions.text import block_hash, sized_summary, token_count
 from ..operators import history, metrics
 from .registry import numbers, query, table, tokens_sql
 from .text_queries import _REST
@@ -77,9 +77,24 @@ def replay_uncompressed(spark, sf_dir):
     return history.replay_plain(turns(spark, sf_dir), SYSTEM)
 
 
-@query(f"WITH {PLAIN_SQL} SELECT conv_id, prompt, block, tokens, hash, cached FROM s")
+@query(
+    f"""WITH {PLAIN_SQL} SELECT conv_id, prompt, count(*) AS blocks, count(*) FILTER (cached) AS cached_blocks, coalesce(sum(tokens) FILTER (cached), 0)::BIGINT AS cached,
+    coalesce(sum(tokens) FILTER (NOT cached), 0)::BIGINT AS fresh FROM s GROUP BY 1, 2"""
+)
 def prefix_cache_split(spark, sf_dir):
-    return history.cache_split(history.prompt_blocks(turns(spark, sf_dir), SYSTEM), ["conv_id"])
+    return history.plain_prompts(turns(spark, sf_dir), SYSTEM)
+
+
+@query(f"WITH {PLAIN_SQL} SELECT conv_id, prompt, block, tokens, cached FROM s")
+def cache_split_blocks(spark, sf_dir):
+    """The split of recorded prompts, block by block: here every prompt's turns so far, as a log of requests holds them."""
+    rows = turns(spark, sf_dir).withColumn("hash", block_hash(F.col("role"), F.col("content"))).withColumn("tokens", token_count("content"))
+    order = Window.partitionBy("conv_id").orderBy("step")
+    own = F.struct(F.row_number().over(order).alias("block"), "tokens", "hash")
+    rows = rows.withColumn("sent", F.collect_list(own).over(order.rowsBetween(Window.unboundedPreceding, -1))).where("role = 'assistant'")
+    system = F.array(F.struct(F.lit(0).alias("block"), F.lit(SYSTEM).cast("long").alias("tokens"), F.lit("system").alias("hash")))
+    recorded = rows.withColumn("prompt", F.row_number().over(order)).select("conv_id", "prompt", F.inline(F.concat(system, "sent")))
+    return history.cache_split(recorded, ["conv_id"]).drop("hash")
 
 
 _TOTALS_SQL = f"{PLAIN_SQL}, c AS (SELECT conv_id, coalesce(sum(tokens) FILTER (cached), 0)::BIGINT AS cached, coalesce(sum(tokens) FILTER (NOT cached), 0)::BIGINT AS fresh FROM s GROUP BY 1)"
@@ -87,51 +102,84 @@ _TOTALS_SQL = f"{PLAIN_SQL}, c AS (SELECT conv_id, coalesce(sum(tokens) FILTER (
 
 @query(f"WITH {_TOTALS_SQL} SELECT conv_id, cached, fresh, round(coalesce(cached / nullif(cached + fresh, 0), 0), 6) AS hit_rate FROM c")
 def cache_hit_rate(spark, sf_dir):
-    split = history.cache_split(history.prompt_blocks(turns(spark, sf_dir), SYSTEM), ["conv_id"])
-    return history.cache_totals(split, ["conv_id"]).select("conv_id", "cached", "fresh", F.round(hit_rate(F.col("cached"), F.col("fresh")), 6).alias("hit_rate"))
+    sums = history.plain_prompts(turns(spark, sf_dir), SYSTEM).groupBy("conv_id").agg(F.sum("cached").alias("cached"), F.sum("fresh").alias("fresh"))
+    return sums.withColumn("hit_rate", F.round(hit_rate(F.col("cached"), F.col("fresh")), 6))
+
+
+#: Replays: a row for each pass, with the summarized and the dropped observations as prefixes of all observations.
+REPLAY_SQL = f"""{HISTORY_SQL}, t AS (SELECT *, {tokens_sql('content')} AS n, CASE WHEN role = 'tool' THEN {tokens_sql(f'({_SUMMARY_SQL})')} ELSE 0 END AS short, row_number() OVER (PARTITION BY conv_id ORDER BY step) AS place FROM h),
+u AS (SELECT *, coalesce(sum(n) OVER o, 0)::BIGINT AS upto, greatest(n - short, 0) AS saving, coalesce(content, '') <> '{history.MARKER}' AND role = 'tool' AS free,
+  coalesce(min(CASE WHEN role <> 'tool' THEN place END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(place) OVER (PARTITION BY conv_id)) AS last_place FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+f AS (SELECT conv_id, place, saving, n, n - saving - 3 AS gain, sum(saving) OVER o AS saved, sum((saving > 0)::INT) OVER o AS shorter, sum(n + short) OVER o AS read, sum(n - saving - 3) OVER o AS gone FROM u WHERE free WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+l AS (SELECT conv_id, list(place ORDER BY place) AS places, list_prepend(0, list(saved::BIGINT ORDER BY place)) AS saved, list_prepend(0, list(shorter::BIGINT ORDER BY place)) AS shorter,
+  list_prepend(0, list(read::BIGINT ORDER BY place)) AS read, list_prepend(0, list(gone::BIGINT ORDER BY place)) AS gone FROM f GROUP BY 1),
+c AS (SELECT u.conv_id, list(upto ORDER BY u.place) AS upto, coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS output FROM u GROUP BY 1),
+a AS (SELECT conv_id, place, last_place, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS k, (SELECT count(*) FROM f WHERE f.conv_id = u.conv_id AND f.place < u.place)::BIGINT AS reach FROM u WHERE role = 'assistant'),
+x AS (SELECT c.conv_id, output, upto, coalesce(places, []) AS places, coalesce(saved, [0]) AS saved, coalesce(shorter, [0]) AS shorter, coalesce(read, [0]) AS read, coalesce(gone, [0]) AS gone FROM c LEFT JOIN l USING (conv_id)),
+r AS (
+  SELECT conv_id, budget, 0::BIGINT AS k, 0::BIGINT AS total, 0::BIGINT AS cached, 0::BIGINT AS held, 0::BIGINT AS done, 0::BIGINT AS cut FROM c, (SELECT unnest([0, {', '.join(map(str, BUDGETS))}])::INTEGER AS budget)
+  UNION ALL
+  SELECT conv_id, budget, k, total + sent, cached + held, CASE WHEN least(f1, f2) <= len(places) THEN {SYSTEM} + upto[places[least(f1, f2)] - 1] - saved[least(done2, least(f1, f2) - 1) + 1] - gone[least(cut2, least(f1, f2) - 1) + 1] ELSE sent END, done2, cut2
+  FROM (SELECT *, CASE WHEN shorter[done2 + 1] > shorter[done + 1] THEN list_min(list_filter(range(done + 1, done2 + 1), lambda i: shorter[i + 1] > shorter[i])) ELSE len(places) + 1 END AS f1, CASE WHEN cut2 > cut THEN cut + 1 ELSE len(places) + 1 END AS f2
+    FROM (SELECT *, CASE WHEN over2 > 0 THEN coalesce(list_min(list_filter(range(cut, reach), lambda i: gone[i + 1] - gone[cut + 1] >= over2)), greatest(reach, cut)) ELSE cut END AS cut2
+      FROM (SELECT *, over - (saved[done2 + 1] - saved[done + 1]) AS over2
+        FROM (SELECT *, CASE WHEN over > 0 AND done < reach THEN done + len(list_filter(saved[done + 1 : reach], lambda v: v < saved[done + 1] + over)) ELSE done END AS done2
+          FROM (SELECT r.conv_id, r.budget, a.k, r.total, r.cached, r.held, r.done, r.cut, a.reach, x.* EXCLUDE (conv_id, output), {SYSTEM} + coalesce(upto[a.place - 1], 0) - saved[r.done + 1] - gone[r.cut + 1] AS sent,
+              CASE WHEN r.budget > 0 THEN upto[a.last_place] - saved[r.done + 1] - gone[r.cut + 1] - r.budget ELSE 0 END AS over
+            FROM r JOIN a ON a.conv_id = r.conv_id AND a.k = r.k + 1 JOIN x ON x.conv_id = r.conv_id)))))),
+w AS (SELECT conv_id, budget, total AS input, output, read[done + 1] AS overhead, cached, total - cached AS fresh, shorter[done + 1] AS summarized, cut AS dropped, shorter[done + 1] + cut > 0 AS engaged
+  FROM r JOIN x USING (conv_id) QUALIFY row_number() OVER (PARTITION BY conv_id, budget ORDER BY k DESC) = 1),
+z AS (SELECT w.*, b.input AS base_input, b.cached AS base_cached, b.fresh AS base_fresh FROM w JOIN w b ON b.conv_id = w.conv_id AND b.budget = 0 WHERE w.budget > 0)"""
 
 
 def _replayed(spark, sf_dir):
-    """Every trajectory under every budget beside the same without compression."""
-    rows = history.replay(turns(spark, sf_dir), numbers(spark, (0, *BUDGETS)), SYSTEM, WORDS)
-    base = rows.where("budget = 0").select("conv_id", *[F.col(c).alias(f"base_{c}") for c in ("input", "output", "cached", "fresh")])
-    return rows.where("budget > 0").join(base, "conv_id")
+    return history.replay(turns(spark, sf_dir), numbers(spark, BUDGETS), SYSTEM, WORDS)
 
 
-@query()
+@query(f"WITH RECURSIVE {REPLAY_SQL} SELECT conv_id, budget, input, output, overhead, cached, fresh, summarized, dropped, engaged, base_input, base_cached FROM z")
 def replay_compressed(spark, sf_dir):
-    return history.replay(turns(spark, sf_dir), numbers(spark, BUDGETS), SYSTEM, WORDS)
+    return _replayed(spark, sf_dir)
+
+
+def _per_budget(exprs: str) -> str:
+    return f"WITH RECURSIVE {REPLAY_SQL} SELECT budget, {exprs} FROM z GROUP BY 1"
 
 
-def _sums(rows):
-    """Per budget: token reductions as means over trajectories, the cost reduction both of the sums and as a mean."""
-    in_usd, out_usd = PRICES[MODEL]
-    spent = lambda p: F.sum(p)
-    base = (F.col("base_input") + F.col("base_output")) * in_usd / 1e6
-    now = (F.col("input") + F.col("output")) * in_usd / 1e6 + F.col("overhead") * PRICES[SUMMARIZER][0] / 1e6
-    gross, net = F.col("input") + F.col("output"), F.col("input") + F.col("output") + F.col("overhead")
-    whole = F.col("base_input") + F.col("base_output")
-    return rows.groupBy("budget").agg(
-        F.avg(reduction(whole, gross)).alias("gross_reduction"), F.avg(reduction(whole, net)).alias("net_reduction"), reduction(spent(base), spent(now)).alias("net_cost_reduction"),
-        F.avg(reduction(base, now)).alias("mean_cost_reduction"), F.avg("overhead").alias("mean_overhead"), F.sum(F.col("engaged").cast("long")).alias("engaged"), F.count("*").alias("trajectories"),
-    )
+_IN, _OUT, _OVER = (*PRICES[MODEL], PRICES[SUMMARIZER][0])
+_CUT = "coalesce(avg(CASE WHEN {0} > 0 THEN ({0} - {1}) * 100.0 / {0} ELSE 0.0 END), 0.0)".format
+_USD = f"((input + output) * {_IN} / 1e6 + overhead * {_OVER} / 1e6)"
+_BASE_USD = f"((base_input + output) * {_IN} / 1e6)"
+_NET_COST = f"CASE WHEN sum({_BASE_USD}) > 0 THEN (sum({_BASE_USD}) - sum({_USD})) * 100.0 / sum({_BASE_USD}) ELSE 0.0 END"
 
 
-@query()
+@query(
+    _per_budget(
+        f"""round({_CUT('(base_input + output)', '(input + output)')}, 6) AS gross_reduction, round({_CUT('(base_input + output)', '(input + output + overhead)')}, 6) AS net_reduction, round({_NET_COST}, 6) AS net_cost_reduction,
+        round({_CUT(_BASE_USD, _USD)}, 6) AS mean_cost_reduction, avg(overhead) AS mean_overhead, count(*) FILTER (engaged) AS engaged, count(*) AS trajectories"""
+    )
+)
 def replay_sweep(spark, sf_dir):
-    return _sums(_replayed(spark, sf_dir))
+    rows = metrics.replay_sweep(_replayed(spark, sf_dir), MODEL, SUMMARIZER)
+    return rows.withColumns({c: F.round(c, 6) for c in rows.columns if c.endswith("reduction")})
 
 
-@query()
+@query(f"SELECT budget, net_cost_reduction FROM ({_per_budget(f'round({_NET_COST}, 6) AS net_cost_reduction')}) ORDER BY net_cost_reduction DESC, budget DESC LIMIT 1")
 def best_replay_budget(spark, sf_dir):
-    rows = _sums(_replayed(spark, sf_dir))
+    rows = metrics.replay_sweep(_replayed(spark, sf_dir), MODEL, SUMMARIZER).withColumn("net_cost_reduction", F.round("net_cost_reduction", 6))
     return metrics.first_by(rows, [], F.desc("net_cost_reduction"), F.desc("budget")).select("budget", "net_cost_reduction")
 
 
-@query()
+def _cached_cut(share: float) -> str:
+    price = "((({0}fresh + {0}cached * " + str(share) + f") * {_IN} + output * {_OUT} + {{1}} * {_OVER}) / 1e6)"
+    return f"round({_CUT(price.format('base_', '0'), price.format('', 'overhead'))}, 6)"
+
+
+_HIT = "avg(coalesce({0}cached / nullif({0}cached + {0}fresh, 0), 0))".format
+
+
+@query(
+    _per_budget(f"round({_HIT('base_')}, 6) AS base_hit, round({_HIT('')}, 6) AS treat_hit, {_cached_cut(1.0)} AS no_cache_reduction, {_cached_cut(0.5)} AS half_reduction, {_cached_cut(0.1)} AS tenth_reduction, count(*) FILTER (engaged) AS engaged")
+)
 def cache_cost_sweep(spark, sf_dir):
-    (in_usd, out_usd), over_usd = PRICES[MODEL], PRICES[SUMMARIZER][0]
-    rows = _replayed(spark, sf_dir)
-    cost = lambda p, share, over: cache_net_cost(F.col(f"{p}fresh"), F.col(f"{p}cached"), F.col(f"{p}output"), share, F.lit(in_usd), F.lit(out_usd), over, F.lit(over_usd))
-    cuts = [F.avg(reduction(cost("base_", share, F.lit(0)), cost("", share, F.col("overhead")))).alias(name) for share, name in ((1.0, "no_cache_reduction"), (0.5, "half_reduction"), (0.1, "tenth_reduction"))]
-    return rows.groupBy("budget").agg(F.avg(hit_rate(F.col("base_cached"), F.col("base_fresh"))).alias("base_hit"), F.avg(hit_rate(F.col("cached"), F.col("fresh"))).alias("treat_hit"), *cuts, F.sum(F.col("engaged").cast("long")).alias("engaged"))
+    rows = metrics.cache_sweep(_replayed(spark, sf_dir), MODEL, SUMMARIZER, {"no_cache": 1.0, "half": 0.5, "tenth": 0.1})
+    return rows.withColumns({c: F.round(c, 6) for c in rows.columns if c.endswith(("hit", "reduction"))})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import cost, text, vectors
 from tessella.operators import assembly, chunks, history, metrics, store
 from tessella.operators.retrieval import search_text, topk
+from tessella.plans import agent
 from tessella.plans.registry import numbers
 
 
@@ -127,21 +128,73 @@ def test_compression_goes_oldest_first(spark):
     assert all_[0].new_content == TURNS[0][1] and all_[6].new_content == TURNS[6][1]
 
 
-def test_compression_is_the_fold(spark):
+def _pass(turns, budget, shorten):
+    """One compression pass, slowly: turns are [role, content, asked]; gives the summarizer's tokens, and what was shortened and dropped."""
+    count = lambda: sum(len(t[1].split()) for t in turns)
+    last = max(i for i, t in enumerate(turns) if t[0] == "assistant")
+    read, done = 0, [0, 0]
+    for kind in (0, 1):
+        for t in turns[:last]:
+            if count() > budget and t[0] == "tool" and t[1] != history.MARKER and not (kind == 0 and t[2]):
+                new = history.MARKER if kind else shorten(t[1])
+                if not kind:
+                    read += len(t[1].split()) + len(new.split())
+                    t[2] = True
+                if kind or len(new.split()) < len(t[1].split()):
+                    t[1] = new
+                    done[kind] += 1
+    return read, *done
+
+
+def _random_turns(rng):
+    turns = [("user", "goal")]
+    for _ in range(rng.randint(1, 9)):
+        turns += [("assistant", "go " * rng.randint(1, 4)), *[("tool", "h x\n" + "w " * rng.randint(0, 30)) for _ in range(rng.randint(0, 3))], *[("user", "and")] * (rng.random() < 0.2)]
+    return turns + [("tool", history.MARKER)] * (rng.random() < 0.3) + [("assistant", "end")]
+
+
+def test_compression_is_the_slow_pass(spark):
     rng = random.Random(2)
     for conv in range(4):
-        turns = [("user", "goal")]
-        for _ in range(6):
-            turns += [("assistant", "go"), *[("tool", "h x\n" + "w " * rng.randint(0, 30)) for _ in range(rng.randint(1, 2))]]
+        turns = _random_turns(rng)
         budgets = (10, 40, 80)
         rows = history.compress(_turns(spark, turns, conv), numbers(spark, budgets), lambda c: text.sized_summary(c, 5)).collect()
         for b in budgets:
-            r = history.Replay(b, lambda t: history.size_summary(t, 5), history.count_words)
-            r.turns = [{"role": a, "content": c} for a, c in turns]
-            r.compress()
+            slow = [[r, c, False] for r, c in turns]
+            _, short, cut = _pass(slow, b, lambda t: history.size_summary(t, 5))
             own = sorted((x for x in rows if x.budget == b), key=lambda x: x.step)
-            assert [x.new_content for x in own] == [t["content"] for t in r.turns]
-            assert (sum(x.summarized for x in own), sum(x.dropped for x in own)) == (r.summarized, r.dropped)
+            assert [x.new_content for x in own] == [t[1] for t in slow]
+            assert (sum(x.summarized for x in own), sum(x.dropped for x in own)) == (short, cut)
+            live = [agent.Message(r, c) for r, c in turns]
+            assert agent.compact(live, b, lambda t: history.size_summary(t, 5)) == (short, cut) and [m.content for m in live] == [t[1] for t in slow]
+
+
+def test_replay_is_the_slow_walk(spark):
+    rng = random.Random(9)
+    convs = {c: _random_turns(rng) for c in range(12)} | {12: [("user", "q")], 13: [("assistant", "a")]}
+    budgets = (0, 12, 30, 60)
+    rows = [(c, i, r, t) for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    got = {(r.conv_id, r.budget): r for r in history.replay(spark.createDataFrame(rows, "conv_id long, step long, role string, content string"), numbers(spark, budgets), 7, 3).collect()}
+    assert len(got) == len(convs) * len(budgets)
+    for c, turns in convs.items():
+        for b in budgets:
+            seen, held, want = [], None, [0] * 6
+            for i, (role, words) in enumerate(turns):
+                if role == "assistant":
+                    now = [(r, t) for r, t, _ in seen]
+                    same = next((k for k, (x, y) in enumerate(zip(now, held or [], strict=False)) if x != y), len(held or []))
+                    want[0] += 7 + sum(len(t.split()) for _, t in now)
+                    want[2] += 0 if held is None else 7 + sum(len(t.split()) for _, t in now[:same])
+                    want[1] += len(words.split())
+                    held = now
+                seen.append([role, words, False])
+                acted = next((r for r, _ in turns[i::-1] if r != "tool"), "") == "assistant"
+                if b and acted and (i + 1 == len(turns) or turns[i + 1][0] != "tool"):
+                    want[3:] = [x + y for x, y in zip(want[3:], _pass(seen, b, lambda t: history.size_summary(t, 3)), strict=True)]
+            r = got[c, b]
+            assert [r.input, r.output, r.cached, r.overhead, r.summarized, r.dropped] == want and r.fresh == r.input - r.cached and r.engaged == (want[4] + want[5] > 0)
+            assert b or (r.base_input, r.base_cached) == (r.input, r.cached)
+            assert (r.base_input, r.base_cached) == (got[c, 0].input, got[c, 0].cached)
 
 
 def test_replay_engages_and_breaks_the_cache(spark):
@@ -151,8 +204,8 @@ def test_replay_engages_and_breaks_the_cache(spark):
     assert got[20].cached / got[20].input < got[0].cached / got[0].input and got[0].cached + got[0].fresh == got[0].input
     plain = history.replay_plain(_turns(spark, long), 10).first()
     assert (plain.input, plain.output) == (got[0].input, got[0].output)
-    split = history.cache_totals(history.cache_split(history.prompt_blocks(_turns(spark, long), 10), ["conv_id"]), ["conv_id"]).first()
-    assert (split.cached, split.fresh) == (got[0].cached, got[0].fresh)
+    sums = history.plain_prompts(_turns(spark, long), 10).agg(F.sum("cached").alias("cached"), F.sum("fresh").alias("fresh")).first()
+    assert (sums.cached, sums.fresh) == (got[0].cached, got[0].fresh)
 
 
 def test_batches(spark):
