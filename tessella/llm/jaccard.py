@@ -7,8 +7,9 @@ linked set shares. Which size is the last light one follows from the cost of bot
 are compared in blocks by parity sketches, which never rule out a link; what they connect is compared exactly, again
 in blocks, and pairs that are connected already need no comparison. Nothing is dropped or capped.
 
-Null and empty texts, and those without words, have no shingles and link with nothing. A null id counts as -1; rows
-that share an id are one node. Sets are held as 64-bit hashes.
+Null and empty texts, and those without words, have no shingles and link with nothing. Ids pass through, null ones too,
+and may be of any type that has an order; they only name components, so rows that share an id, or have none, are each
+decided by their own text. Sets are held as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -101,6 +102,7 @@ def frequent(docs: DataFrame, size: int, threshold: int, most: int) -> np.ndarra
 
 def described(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
     """(id, n, set, sketch, first): the set's hash, and its prefix, or for sets that may be light all of it."""
+    kind = docs.schema["id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -122,7 +124,7 @@ def described(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> D
                 ["id", "n", "set", "sketch", "first"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, set long, sketch binary, first binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, set long, sketch binary, first binary")
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -162,38 +164,72 @@ def light_links(classes: DataFrame, last: int, percent: int) -> DataFrame:
     return subsets.join(center, "key").where((F.col("node") != F.col("v")) & (100 * F.col("m") >= percent * (F.col("n") + F.col("cn") - F.col("m")))).select(F.col("node").alias("u"), "v").distinct()
 
 
-def listed(classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """(list, node): classes that share a prefix shingle; lists of one smallest member are joined."""
+def listed(classes: DataFrame, least: int, percent: int, common: np.ndarray) -> DataFrame:
+    """(list, node): classes that share a prefix shingle; lists of one smallest member are joined.
 
-    def post(batches):
-        for batch in batches:
-            first = [np.frombuffer(x, np.uint64)[: prefix_size(n, percent)] for x, n in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            size = [len(x) for x in first]
-            for k in range(0, len(first), 500):
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate(first[k : k + 500])), pa.array(np.repeat(np.asarray(batch.column("node"))[k : k + 500], size[k : k + 500]))], ["shingle", "node"])
+    Frequent shingles never meet in one task: their smallest members are found by a partial aggregation and, being as
+    many as those shingles at most, sent to where the classes are. Other lists stream through a sorted partition.
+    """
+    often = classes.sparkSession.sparkContext.broadcast(common)
 
-    def gather(batches):
-        key, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def posted(batches):
+        """Shingles and nodes of the prefixes, and whether the shingles are frequent."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                first = [np.frombuffer(x, np.uint64)[: prefix_size(n, percent)] for x, n in zip(part.column("first").to_pylist(), part.column("n").to_pylist(), strict=True)]
+                key, node = np.concatenate(first), np.repeat(part.column("node").to_numpy(), [len(x) for x in first])
+                at = np.minimum(np.searchsorted(often.value, key), max(0, len(often.value) - 1))
+                yield key, node, at, often.value[at] == key if len(often.value) else np.zeros(len(key), bool)
 
-        def lists(key, node):
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            size = np.diff(np.append(starts, len(key)))
-            low = np.repeat(np.minimum.reduceat(node, starts), size) if len(key) else node
-            many = np.repeat(size > 1, size)
-            pairs = np.unique(np.stack([low[many], node[many]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["list", "node"])
+    def rare(batches):
+        for key, node, _, hot in posted(batches):
+            yield pa.RecordBatch.from_arrays([longs(key[~hot]), pa.array(node[~hot])], ["shingle", "node"])
 
+    def gather(batches):
+        last, low = None, 0
         for batch in batches:
-            key, node = np.concatenate([key, batch.column("shingle").to_numpy()]), np.concatenate([node, batch.column("node").to_numpy()])
-            if len(key) < 500_000 or key[0] == key[-1]:
+            key, node = batch.column("shingle").to_numpy(), batch.column("node").to_numpy()
+            if not len(key):
                 continue
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1  # the last list may go on
-            yield lists(key[:cut], node[:cut])
-            key, node = key[cut:], node[cut:]
-        yield lists(key, node)
-
-    posted = classes.where(F.col("n") >= least).select("node", "n", "first").mapInArrow(post, "shingle long, node long")
-    return posted.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(gather, "list long, node long").distinct()
+            opens = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+            lows = np.concatenate([[low], node[opens]])[np.cumsum(opens)]  # nodes come in order: a list's first is its smallest
+            last, low = key[-1], lows[-1]
+            yield _pairs(lows[~opens], node[~opens])
+
+    def lowest(batches):
+        size = len(often.value)
+        n, low = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max)
+        for _, node, at, hot in posted(batches):
+            np.add.at(n, at[hot], 1)
+            np.minimum.at(low, at[hot], node[hot])
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([longs(often.value[some]), pa.array(low[some]), pa.array(n[some])], ["shingle", "low", "n"])
+
+    rows = classes.where(F.col("n") >= least).select("node", "n", "first")
+    lists = rows.mapInArrow(rare, "shingle long, node long").repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(gather, "list long, node long")
+    if len(common):
+        found = rows.mapInArrow(lowest, "shingle long, low long, n long").groupBy("shingle").agg(F.min("low").alias("low"), F.sum("n").alias("n")).where("n > 1").toPandas()
+        low = np.zeros(len(common), np.int64)
+        shared = np.zeros(len(common), bool)
+        at = np.searchsorted(common, found["shingle"].to_numpy(np.int64).view(np.uint64))
+        low[at], shared[at] = found["low"].to_numpy(np.int64), True
+        sent = classes.sparkSession.sparkContext.broadcast((low, shared))
+
+        def named(batches):
+            low, shared = sent.value
+            for _, node, at, hot in posted(batches):
+                hot[hot] = shared[at[hot]]
+                yield _pairs(low[at[hot]], node[hot])
+
+        lists = lists.unionByName(rows.mapInArrow(named, "list long, node long"))
+    return lists.distinct()
+
+
+def _pairs(low: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of a list's name and a member, the one that it is named by among them."""
+    pairs = np.unique(np.stack([np.concatenate([low, low]), np.concatenate([node, low])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["list", "node"])
 
 
 def _sketches(rows: list[bytes], bits: int) -> np.ndarray:
@@ -297,8 +333,8 @@ MAP_BITS = 26
 
 
 def _marked(nodes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with the bits of all nodes set."""
-    h = F.pmod(F.col("node"), F.lit(1 << MAP_BITS))
+    """A bit map of fixed size with the bits of all values of `h` set."""
+    h = F.pmod(F.col("h"), F.lit(1 << MAP_BITS))
     cells = nodes.select(F.call_function("shiftright", h, F.lit(5)).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), (h % 32).cast("int")).alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << MAP_BITS - 5, np.uint32)
     out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
@@ -306,37 +342,51 @@ def _marked(nodes: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set, shingles) of documents that stand in `nodes` or share a bit with one that does."""
+    """(node, h, shingles) of documents whose id's hash h stands in `nodes` or shares a bit with one that does; a task gives a pair of node and h once."""
     sent = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
 
     def run(batches):
         marks = sent.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            h = np.asarray(batch.column("id")) % (1 << MAP_BITS)
+            h = batch.column("h").to_numpy() % (1 << MAP_BITS)
             taken = (marks[h >> 5] >> (h & 31).astype(np.uint32)) & np.uint32(1)
             for part in steps(iter([batch.filter(pa.array(taken.astype(bool)))]), "text"):
                 sets = shingle_sets(*utf8(part.column("text")), size)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "set", "shingles"])
+                new = []
+                for k, own in enumerate(zip(map(set_hash, sets), part.column("h").to_pylist(), strict=True)):
+                    if own not in seen:
+                        seen.add(own)
+                        new.append((*own, sets[k].tobytes()))
+                node, at, held = zip(*new, strict=True) if new else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(at, pa.int64()), pa.array(held, pa.binary())], ["node", "h", "shingles"])
 
-    return docs.mapInArrow(run, "node long, set long, shingles binary")
+    return docs.select("h", "text").mapInArrow(run, "node long, h long, shingles binary")
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; a component is what links reach, named by its smallest id."""
+    """(id, n_shingles, component_id) of every row; a component is what links reach, named by its smallest id that isn't null."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text"))
-    every = stored(described(docs, size, percent, frequent(docs, size, FREQUENT, FREQUENT_MAX)))
-    classes = stored(every.where("n > 0").groupBy("set", "n").agg(F.min(F.struct("id", "sketch", "first")).alias("c")).select("set", "n", F.col("c.id").alias("node"), "c.sketch", "c.first"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    common = frequent(docs, size, FREQUENT, FREQUENT_MAX)
+    every = stored(described(docs, size, percent, common))
+    # a class is a node by its set's hash; the row of the smallest h stands for it where its shingles are needed
+    classes = stored(
+        every.where("n > 0").withColumn("h", F.xxhash64("id")).groupBy(F.col("set").alias("node"))
+        .agg(F.min("n").alias("n"), F.min("h").alias("h"), F.min("id").alias("least"), F.min(F.struct("sketch", "first")).alias("c")).select("node", "n", "h", "least", "c.sketch", "c.first")
+    )
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count("*").alias("c")).collect()}
     last = boundary(sizes, percent)
-    lists = listed(classes, -(-percent * (last + 1) // 100), percent).join(classes.select("node", "n", "sketch"), "node")
+    lists = listed(classes, -(-percent * (last + 1) // 100), percent, common).join(classes.select("node", "n", "sketch"), "node")
     roots = components(candidates(lists, percent))
-    told = roots.join(classes.select("node", "set", "n", "sketch"), "node")
-    whole = stored(told).join(sets_of(docs, roots, size), ["node", "set"])
-    found = components(verified(whole, percent).unionByName(light_links(classes, last, percent)))
-    ends = stored(classes.select("set", "n", "node").join(found, "node", "left").select("set", "n", F.coalesce("root", "node").alias("component_id")))
-    rows = every.select("id", "n", "set").join(ends, ["set", "n"], "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    told = stored(roots.join(classes.select("node", "h", "n", "sketch"), "node"))
+    whole = told.join(sets_of(docs, told, size).groupBy("node", "h").agg(F.first("shingles").alias("shingles")), ["node", "h"]).drop("h")
+    found = stored(components(verified(whole, percent).unionByName(light_links(classes, last, percent))).join(classes.select("node", "least"), "node"))
+    names = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    ends = classes.select("node", "least").join(found.join(names, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    rows = every.where("n > 0").select("id", "n", F.col("set").alias("node")).join(ends, "node").select("id", "n", "component_id")
+    rows = rows.unionByName(every.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
