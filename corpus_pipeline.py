@@ -35,16 +35,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that similarity links, directly or through others, the one of the smallest id, null ids last.
 
-    Each row is a node of its own, so rows that only share an id, or have none, stay.
+    Rows are known by their id with a hash of their text, so different texts of one id, or of none, are decided apart;
+    rows that agree in both are one, of which any stays.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    part, place = F.call_function("shiftright", "_row", F.lit(33)), F.col("_row").bitwiseAND((1 << 33) - 1)
-    parts = (rows.agg(F.max(part)).first()[0] or 0) + 1
-    rows = rows.withColumn("_row", place * parts + part)  # join() marks nodes by their low bits
-    groups = jaccard.join(rows, SHINGLE, PERCENT, "_row")
-    ids = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(ids)["_row"].alias("_row"))
-    return rows.join(stored(first.select("_row")), "_row", "left_semi").select(docs.columns)
+    known = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    groups = jaccard.join(docs.select(known.alias("_row"), "text"), SHINGLE, PERCENT, "_row")
+    kept = stored(groups.where("_row = component_id").select(F.col("_row.doc_id").alias("_id"), F.col("_row.text_hash").alias("_hash")).distinct())
+    rows = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"])
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (F.col("_text_hash") == F.col("_hash")), "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
