@@ -178,9 +178,13 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def blocked(rows: DataFrame, key: str, item: str, block: int) -> DataFrame:
-    """rows with own, i, j: groups of `key` of over `block` rows fall into blocks, and every two blocks meet in one (key, i, j)."""
-    sizes = stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key, F.ceil(F.col("n") / block).alias("blocks")))
+def blocked(rows: DataFrame, key: str, item: str, block: int, counts: DataFrame | None = None) -> DataFrame:
+    """rows with own, i, j: groups of `key` of over `block` rows fall into blocks, and every two blocks meet in one (key, i, j).
+
+    Groups of one row are left out. counts: (key, n), if there is a cheaper way to them than the rows.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    sizes = stored(counts.where("n > 1").select(key, F.ceil(F.col("n") / block).alias("blocks")))
     rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
