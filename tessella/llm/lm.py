@@ -1,11 +1,11 @@
 """Language-model scoring: quantised n-gram counts in a log-frequency Bloom filter that lies in parts by hash range.
 
-Tokens are words between ASCII white space, A-Z lower-cased, then one end. A count c goes in as levels 1 to
-1 + floor(log2 c); reading probes levels until one is missing. The number of parts grows with the tokens and each part
-with its n-grams, so every count is in; no worker holds more than a part. Texts lie in chunks: a chunk sends each range
-its distinct n-grams with their counts, the range merges them, fills its part and sends back the levels that it reads
-for each chunk's n-grams. Exact word counts, for the base score, stay in a table: words frequent enough that their
-number has a bound are broadcast, the others are joined.
+Tokens are words between ASCII white space, A-Z lower-cased, then one end; n-grams have up to three. A count c goes in as
+levels 1 to 1 + floor(log2 c); reading probes levels until one is missing. The number of parts grows with the texts and
+each part with its n-grams, so every count is in; no worker holds more than a part. Texts lie in chunks: a chunk sends
+each range its distinct n-grams with their counts, the range merges them, fills its part and sends back the levels that
+it reads for each chunk's n-grams. Words travel along by their whole hash and come back with exact counts, for the base
+score, so nothing of the corpus is broadcast or sent to the driver but the numbers of tokens and of words.
 """
 
 from __future__ import annotations
@@ -19,20 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, chained, hash_word, longs, mix, small_batches, steps, stored, utf8, word_hashes, words
+from .common import binary_column, chained, hash_word, mix, small_batches, steps, stored, utf8, word_hashes, words
 
 #: Bits of the filter for each level of a count.
 LEVEL_BITS = 12
 #: Bytes of text in a chunk, unless a single text is longer; a row counts as ROW_BYTES more.
-CHUNK_BYTES, ROW_BYTES = 6 << 20, 4
-#: Words that are broadcast with their counts at most: those with a 1/FREQUENT share of all tokens.
-FREQUENT = 1 << 22
-#: Tokens whose n-grams one hash range holds on average.
-RANGE_TOKENS = 1 << 20
-#: Weight of the bigram estimate where its context was seen.
-BIGRAM = 0.6
+CHUNK_BYTES, ROW_BYTES = 4 << 20, 4
+#: Bytes of the texts whose n-grams one hash range holds on average.
+RANGE_BYTES = 4 << 20
+#: What is taken off the count of a seen n-gram, and how the share left to shorter contexts falls with a context's count.
+DISCOUNT, FALL = 0.75, 0.25
 END = np.uint64(hash_word("\x00end"))
-KEPT = 40
+#: Bits of an n-gram's hash that are kept below those of its range.
+KEPT = 32
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,45 +45,20 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, limits + np.arange(len(at))
 
 
-def bigrams(h: np.ndarray) -> np.ndarray:
-    """Each token with the one before it; the end of the text before stands before a text's first."""
-    return chained(np.concatenate([[END], h]), 2)
+def ngrams(h: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token with the one before it, and with the two before it; before a text there are ends only."""
+    before = np.concatenate([[END, END], h])
+    two = chained(before[1:], 2)
+    three = chained(before, 3)
+    starts = limits[:-1]
+    three[starts] = mix(mix(two[starts]) + np.uint64(3))  # the token two places before is of another text
+    return two, three
 
 
 def learns(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 10 != 0
 
 
-def word_counts(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
-    """(word hash, count in all texts, count in those learned from)."""
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def sums():
-            w, c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, where = np.unique(w, return_inverse=True)
-            return keys, np.bincount(where, c).astype(np.int64), np.bincount(where, t).astype(np.int64)
-
-        for batch in steps(batches, "text"):
-            h, limits = tokens(*utf8(batch.column("text")))
-            teach = np.repeat(batch.column("learn").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(limits))
-            codes, kinds = pd.factorize(h)
-            held.append((kinds, np.bincount(codes), np.bincount(codes, teach)))
-            if sum(len(x[0]) for x in held) > 2_000_000:
-                held = [sums()]
-                if len(held[0][0]) > 1_000_000:
-                    w, c, t = held.pop()
-                    yield pa.RecordBatch.from_arrays([longs(w), pa.array(c), pa.array(t)], ["word", "n", "taught"])
-        if held:
-            w, c, t = sums()
-            for k in range(0, len(w), 200_000):
-                yield pa.RecordBatch.from_arrays([longs(w[k : k + 200_000]), pa.array(c[k : k + 200_000]), pa.array(t[k : k + 200_000])], ["word", "n", "taught"])
-
-    rows = docs.select(F.col(text_col).alias("text"), learn.alias("learn")).mapInArrow(run, "word long, n long, taught long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("taught").alias("taught"))
-
-
 def _ranged(h: np.ndarray, bits: int) -> np.ndarray:
     """The bits of a hash that are kept: those of the range, then KEPT."""
     return h >> np.uint64(64 - bits - KEPT)
@@ -136,18 +110,12 @@ def fitting(counts: np.ndarray) -> int:
     return max(1, -(-int((np.floor(np.log2(counts)).astype(np.int64) + 1).sum()) * LEVEL_BITS // 64))
 
 
-def part(counts: np.ndarray, kept: np.ndarray, size: int) -> np.ndarray:
-    """A range's words of the filter. In fewer than fitting() those of the lowest counts stay out."""
+def part(counts: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """A range's words of the filter, as many as its n-grams need."""
     levels = np.floor(np.log2(counts)).astype(np.int64) + 1
-    room = size * 64 // LEVEL_BITS
-    used = np.bincount(levels, minlength=1) * np.arange(int(levels.max(initial=0)) + 1)
-    over = np.cumsum(used[::-1])[::-1]
-    least = int(np.argmax(np.append(over, 0) <= room))
-    cells = np.zeros(size, np.uint64)
-    stays = levels >= max(least, 1)
-    kept, levels = kept[stays], levels[stays]
+    cells = np.zeros(fitting(counts), np.uint64)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        place, mask = _probe(kept[levels >= j], j, size)
+        place, mask = _probe(kept[levels >= j], j, len(cells))
         np.bitwise_or.at(cells, place, mask)
     return cells
 
@@ -195,119 +163,141 @@ def _read(sizes: pa.ListScalar, raw: pa.BinaryScalar) -> tuple[np.ndarray, np.nd
     return np.concatenate([h for h, _ in got]), np.concatenate([np.diff(limits) for _, limits in got])
 
 
-def _grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's code with the distinct tokens, and the same of bigrams."""
-    return *pd.factorize(h), *pd.factorize(bigrams(h))
+@dataclass
+class Grams:
+    """A chunk's tokens, its distinct words, and its distinct n-grams of all orders by what is kept of their hashes."""
+
+    words: np.ndarray
+    word: np.ndarray  # each token's place in words
+    kept: np.ndarray
+    where: np.ndarray  # orders x tokens: places in kept
+
+    @classmethod
+    def of(cls, h: np.ndarray, size: np.ndarray, bits: int) -> Grams:
+        found, word = np.unique(h, return_inverse=True)
+        two, three = ngrams(h, np.concatenate([[0], np.cumsum(size)]))
+        codes, parts, total = [], [], 0
+        for code, kinds in ((word, chained(found, 1)), pd.factorize(two), pd.factorize(three)):
+            codes.append(code + total)
+            parts.append(_ranged(kinds, bits))
+            total += len(kinds)
+        kept, where = np.unique(np.concatenate(parts), return_inverse=True)
+        return cls(found, word, kept, where[np.stack(codes)])
 
+    def limits(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each range's n-grams and words begin and end."""
+        edges = np.arange((1 << bits) + 1, dtype=np.uint64)
+        top = self.words >> np.uint64(64 - bits) if bits else np.zeros(len(self.words), np.uint64)
+        return np.searchsorted(self.kept, edges << np.uint64(KEPT)), np.searchsorted(top, edges)
 
-def _kept(kinds: np.ndarray, pair_kinds: np.ndarray, bits: int) -> np.ndarray:
-    """What is kept of the hashes of words, then of bigrams."""
-    return np.concatenate([_ranged(chained(kinds, 1), bits), _ranged(pair_kinds, bits)])
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of little-endian numbers byte by byte: bytes of the same place lie together, as most repeat."""
+    return b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns)
+
+
+def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    widths = [np.dtype(k).itemsize for k in kinds]
+    rows = np.frombuffer(data, np.uint8).reshape(sum(widths), -1)
+    return [np.ascontiguousarray(x.T).view(k).reshape(-1) for x, k in zip(np.split(rows, np.cumsum(widths)[:-1]), kinds, strict=True)]
 
 
 def answered(chunked: DataFrame, bits: int) -> DataFrame:
-    """(chunk, range, levels): a byte for each distinct n-gram of the chunk in one of 2^bits ranges, in the order of what is kept of its hash.
+    """(chunk, range, levels, counts, n, v): for a chunk's n-grams in one of 2^bits ranges their levels, for its words their counts.
 
-    Levels are of the counts in all texts learned from.
+    Both are of all texts learned from, in the order of the hashes. A row without chunk has a range's tokens n and words v.
     """
 
     def send(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 h, size = _read(batch.column("sizes")[row], batch.column("raw")[row])
-                teach = np.repeat(batch.column("learn")[row].values.to_numpy(zero_copy_only=False).astype(np.int64), size)
-                codes, kinds, pairs, pair_kinds = _grams(h)
-                kept, where = np.unique(_kept(kinds, pair_kinds, bits), return_inverse=True)
-                n = np.bincount(where, np.concatenate([np.bincount(codes, teach), np.bincount(pairs, teach)]))
-                limits = np.searchsorted(kept, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(KEPT))
-                low = (kept & np.uint64((1 << KEPT) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                both = np.concatenate([low, n.astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
-                ranges = np.flatnonzero(limits[1:] > limits[:-1])
+                teach = np.repeat(batch.column("learn")[row].values.to_numpy(zero_copy_only=False), size)
+                own = Grams.of(h, size, bits)
+                n = np.bincount(own.where[:, teach].reshape(-1), minlength=len(own.kept)).astype("<u4")
+                taught = np.bincount(own.word[teach], minlength=len(own.words)).astype("<u4")
+                low = (own.kept & np.uint64((1 << KEPT) - 1)).astype("<u4")
+                at, word_at = own.limits(bits)
+                ranges = np.flatnonzero((at[1:] > at[:-1]) | (word_at[1:] > word_at[:-1]))
                 for k in range(0, len(ranges), 256):
-                    own = ranges[k : k + 256]
-                    # bytes of the same place lie together: most repeat
-                    grams = pa.array([both[limits[r] : limits[r + 1]].T.tobytes() for r in own], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("chunk")[row].as_py())), pa.array(own), grams], ["chunk", "range", "grams"])
+                    part = ranges[k : k + 256]
+                    grams = pa.array([_packed(low[at[r] : at[r + 1]], n[at[r] : at[r + 1]]) for r in part], pa.binary())
+                    asked = pa.array([_packed(own.words[word_at[r] : word_at[r + 1]], taught[word_at[r] : word_at[r + 1]]) for r in part], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("chunk")[row].as_py())), pa.array(part), grams, asked], ["chunk", "range", "grams", "words"])
+
+    def merged(blobs, key):
+        """Distinct keys with their sums, and each blob's places among them."""
+        keys, counts = (np.concatenate(x) for x in zip(*(_unpacked(b, key, "<u4") for b in blobs), strict=True))
+        kinds, where = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(kinds), np.int64)
+        np.add.at(sums, where, counts.astype(np.int64))
+        width = np.dtype(key).itemsize + 4
+        return kinds, sums, where, np.cumsum([0, *(len(b) // width for b in blobs)])
 
     def answer(key, rows):
-        sent = [np.frombuffer(x, np.uint8).reshape(9, -1) for x in rows.column("grams").to_pylist()]
-        whole = np.concatenate(sent, axis=1)
-        wide = np.zeros((whole.shape[1], 8), np.uint8)
-        wide[:, :5] = whole[:5].T
-        kept, where = np.unique(wide.view("<u8").reshape(-1), return_inverse=True)
-        counts = np.bincount(where, np.ascontiguousarray(whole[5:].T).view("<u4").reshape(-1)).astype(np.int64)
+        kept, counts, where, ends = merged(rows.column("grams").to_pylist(), "<u4")
+        kept = kept.astype(np.uint64)
         taught = counts > 0
-        cells = part(counts[taught], kept[taught], fitting(counts[taught]))
-        levels = Filter(0, cells).levels(kept)[where]
-        return pa.table({"chunk": rows.column("chunk"), "range": rows.column("range"), "levels": binary_column(levels, np.cumsum([0, *(x.shape[1] for x in sent)]))})
+        levels = Filter(0, part(counts[taught], kept[taught])).levels(kept)[where]
+        _, sums, word, word_ends = merged(rows.column("words").to_pylist(), "<u8")
+        told = pa.array([_packed(sums[word[a:b]]) for a, b in zip(word_ends[:-1], word_ends[1:], strict=True)], pa.binary())
+        none = pa.nulls(rows.num_rows, pa.int64())
+        out = pa.table({"chunk": rows.column("chunk"), "range": rows.column("range"), "levels": binary_column(levels, ends), "counts": told, "n": none, "v": none})
+        whole = pa.table([pa.nulls(1, pa.int64()), rows.column("range").slice(0, 1), pa.array([b""]), pa.array([b""]), pa.array([int(sums.sum())]), pa.array([int((sums > 0).sum())])], schema=out.schema)
+        return pa.concat_tables([out, whole])
+
+    grams = chunked.select("chunk", "learn", "sizes", "raw").mapInArrow(send, "chunk long, range long, grams binary, words binary")
+    return grams.groupBy("range").applyInArrow(answer, "chunk long, range long, levels binary, counts binary, n long, v long")
+
+
+def smoothed(word: np.ndarray, two: np.ndarray, three: np.ndarray, starts: np.ndarray, end: float, below: float) -> np.ndarray:
+    """Probability of each token from the counts of its n-grams: discounted shares, interpolated down to smoothed words.
 
-    grams = chunked.select("chunk", "learn", "sizes", "raw").mapInArrow(send, "chunk long, range long, grams binary")
-    return grams.groupBy("range").applyInArrow(answer, "chunk long, range long, levels binary")
+    A context of count c leaves DISCOUNT / c^FALL of its share to the next shorter one; one that was never seen, all.
+    """
+    first = np.zeros(len(word), bool)
+    first[starts] = True
+    before = np.where(first, end, np.roll(word, 1))  # an end stands before each text
+    pair = np.where(first, end, np.roll(two, 1))
+    p = (word + 0.1) / below
+    for count, context in ((two, before), (three, pair)):
+        c = np.maximum(context, 1.0)
+        left = DISCOUNT / c**FALL
+        p = np.where(context > 0, np.minimum(np.maximum(count - DISCOUNT, 0.0) / c, 1 - left) + left * p, p)
+    return np.minimum(p, 1.0)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row, from the rows for which `learn` holds.
 
-    Null texts count as empty. Rows need no distinct ids. base_score adds up exact counts; score takes
-    0.6 of the bigram's share among its context's count and 0.4 of the smoothed word share, counts read from the filter.
+    Null texts count as empty. Rows need no distinct ids; null ids pass through and are not learned from where `learn`
+    is null for them. base_score adds up exact counts; score takes counts of words, pairs and triples from the filter.
     """
     small_batches(docs.sparkSession)
-    counts = stored(word_counts(docs, learn, text_col))
-    n, v, total = counts.agg(F.coalesce(F.sum("taught"), F.lit(0)), F.count(F.when(F.col("taught") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = counts.where(F.col("n") * FREQUENT >= total).toPandas().sort_values("word")
-    keys = frequent["word"].to_numpy(np.int64)
-    below = n + 0.1 * (v + 1)
-    logs = np.log10((frequent["taught"].to_numpy(np.float64) + 0.1) / below)
-    known = frequent["taught"].to_numpy(np.int64) > 0
-    sent = docs.sparkSession.sparkContext.broadcast((keys, logs, known))
     kind = docs.schema[id_col].dataType.simpleString()
-    bits = max(0, math.ceil(math.log2(max(1, n) / RANGE_TOKENS)))
+    chunked = stored(chunks(docs, learn, id_col, text_col))
+    bytes_ = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, bytes_) / RANGE_BYTES)))
+    answers = stored(answered(chunked, bits))
+    n, v = answers.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    below = n + 0.1 * (v + 1)
 
-    def run(texts, answers):
-        keys, logs, known = sent.value
+    def run(texts, told):
         h, size = _read(texts.column("sizes")[0], texts.column("raw")[0])
-        given = texts.column("ids")[0].values
+        own = Grams.of(h, size, bits)
+        told = told.take(pa.array(np.argsort(told.column("range").to_numpy())))
+        count = expected(np.frombuffer(b"".join(told.column("levels").to_pylist()), np.uint8))[own.where]
+        taught = np.concatenate([_unpacked(x, "<i8")[0] for x in told.column("counts").to_pylist()])[own.word]
         rows, limits = len(size), np.concatenate([[0], np.cumsum(size)])
-        codes, kinds, pairs, pair_kinds = _grams(h)
-        _, where = np.unique(_kept(kinds, pair_kinds, bits), return_inverse=True)
-        order = np.argsort(answers.column("range").to_numpy())
-        told = expected(np.frombuffer(b"".join(answers.column("levels").take(pa.array(order)).to_pylist()), np.uint8))
-        signed = kinds.view(np.int64)
-        at = np.minimum(np.searchsorted(keys, signed), max(0, len(keys) - 1))
-        common = keys[at] == signed if len(keys) else np.zeros(len(kinds), bool)
-        base = np.where(common, logs[at] if len(keys) else 0.0, 0.0)
-        seen = common & (known[at] if len(keys) else False)
         owner = np.repeat(np.arange(rows), size)
-        once, both = told[where[: len(kinds)]], told[where[len(kinds) :]][pairs]
-        word = once[codes]
-        end = word[-1]  # every text has one
-        context = np.concatenate([[end], word[:-1]])
-        context[limits[:-1]] = end
-        smooth = (word + 0.1) / below
-        p = np.where(context > 0, BIGRAM * np.minimum(1.0, both / np.maximum(context, 1.0)) + (1 - BIGRAM) * smooth, smooth)
-        sums = [np.bincount(owner, x, rows) for x in (seen[codes], base[codes], np.log10(np.minimum(p, 1.0)))]
-        serial = texts.column("chunk")[0].as_py()
-        ids = np.arange(serial, serial + rows)
-        left = np.flatnonzero(~common[codes])
-        m = len(left)
-        none = pa.nulls(m, pa.int64())
-        return pa.Table.from_arrays(
-            [pa.array(np.concatenate([ids, ids[owner[left]]])), pa.concat_arrays([given, pa.nulls(m, given.type)]), longs(np.concatenate([mix(ids.astype(np.uint64)), h[left]])),
-             pa.concat_arrays([pa.array(size.astype(np.int64)), none]), pa.concat_arrays([pa.array(sums[0].astype(np.int64)), none]), pa.array(np.concatenate([sums[1], np.zeros(m)])), pa.array(np.concatenate([sums[2], np.zeros(m)]))],
-            ["row", "id", "word", "n_tokens", "n_known", "base", "score"],
-        )
-
-    chunked = stored(chunks(docs, learn, id_col, text_col))
-    told = chunked.select("chunk", "ids", "sizes", "raw").groupBy("chunk").cogroup(answered(chunked, bits).groupBy("chunk"))
-    rows = told.applyInArrow(run, f"row long, id {kind}, word long, n_tokens long, n_known long, base double, score double")
-    taught = F.coalesce("taught", F.lit(0))
-    rare = F.col("n_tokens").isNull()
-    rows = rows.join(counts.select("word", "taught"), "word", "left").select(
-        "row", "id", "n_tokens", "score",
-        F.when(rare, (taught > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, F.log10((taught + F.lit(0.1)) / F.lit(below))).otherwise(F.col("base")).alias("base"),
-    )
-    return rows.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("row")
+        end = count[0, -1]  # every text has one
+        p = smoothed(*count, limits[:-1], end, below)
+        sums = [np.bincount(owner, x, rows) for x in (taught > 0, np.log10((taught + 0.1) / below), np.log10(p))]
+        return pa.table({"id": texts.column("ids")[0].values, "n_tokens": size.astype(np.int64), "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
+
+    told = chunked.select("chunk", "ids", "sizes", "raw").groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk"))
+    rows = told.applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double")
+    return rows.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -147,12 +147,39 @@ def test_embeddings_against_brute_force(spark):
     got = {r.vec_id: r for r in embeddings.digest(df).collect()}
     assert len(got) == len(rows)
     found, exact = sum(r.n_links for r in got.values()), sum(map(len, linked.values()))
-    assert all(r.n_links <= len(linked[i]) for i, r in got.items()) and found >= 0.95 * exact > 0
+    assert all(r.n_links <= len(linked[i]) for i, r in got.items()) and found >= 0.98 * exact > 0
     for i, r in got.items():
         assert r.kept == (r.component_id == i) and (i in good or (r.n_links, r.component_id) == (0, i))
     assert embeddings.digest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("d", "n"), [(64, 500), (64, 6000), (64, 700_000), (64, 10**8), (128, 10**9), (768, 10**9), (768, 10**11), (5, 10**6)])
+def test_recall_is_held_at_every_size(d, n):
+    """Of random pairs at the threshold, those that the tables for n vectors let meet."""
+    depth, last, tables = embeddings.shape(n, d, embeddings.PROBES, embeddings.THRESHOLD)
+    rng = np.random.default_rng(11)
+    x, z = rng.normal(size=(2, 1500, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    met = np.zeros(len(x), bool)
+    for t in range(tables):
+        a, b = (embeddings.hashes(v, t, depth, last, embeddings.PROBES) for v in (x, y))
+        met |= (a[:, :, None] == b[:, None, :]).any((1, 2))
+    assert met.mean() >= 0.95
+
+
+def test_embeddings_take_any_ids_and_columns(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 16)).tolist()
+    near = [x + 0.01 for x in a]
+    rows = [(5, a), (5, b), (None, near), (3, near), (None, [-x for x in b]), (None, [-x for x in b]), (9, None), (None, None)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    df = df.withColumns({c: F.lit(1) for c in ("rep", "size", "bucket", "n_links", "component_id", "_id", "least", "root")})
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.digest(df).collect())
+    assert got == Counter([(5, 2, 3, False), (5, 0, 5, True), (None, 2, 3, False), (3, 2, 3, True), (None, 1, None, True), (None, 1, None, True), (9, 0, 9, True), (None, 0, None, True)])
+
+
 @pytest.mark.parametrize(("seed", "one_task"), [(1, 1_000_000), (2, 0)])
 def test_components(spark, seed, one_task, monkeypatch):
     monkeypatch.setattr(components, "ONE_TASK", one_task)  # 0: stars, round by round
@@ -187,56 +214,61 @@ def test_lm_base_scores(spark, sf, odd):
         assert all(r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in got)
 
 
-def test_lm_rare_words_are_joined(spark, sf, monkeypatch):
-    """With hardly any word broadcast the sums stay the same."""
+def test_lm_in_many_parts(spark, sf, monkeypatch):
+    """In many chunks and ranges the base sums stay the same."""
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    want = {r.doc_id: (r.n_known, round(r.base_score, 5)) for r in lm.digest(df).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 50)
-    assert {r.doc_id: (r.n_known, round(r.base_score, 5)) for r in lm.digest(df).collect()} == want
+    rows = lambda: {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in lm.digest(df).collect()}
+    want = rows()
+    monkeypatch.setattr(lm, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    assert rows() == want
 
 
-def test_lm_leaves_no_count_out(docs, monkeypatch):
-    """Every n-gram is read with its level at least, however many there are, from chunks and ranges of any number."""
-    monkeypatch.setattr(lm, "RANGE_TOKENS", 512)
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000, raising=False)
-    monkeypatch.setattr(lm, "FILTER_BYTES", 4096, raising=False)  # a bound on the whole filter, if there is one
+def test_lm_against_brute_force(docs, monkeypatch):
+    """The score from exact levels of all n-grams, however many there are, from chunks and ranges of any number."""
+    monkeypatch.setattr(lm, "RANGE_BYTES", 4096)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)
     rng = random.Random(4)
     texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(rng.randint(0, 60))) for _ in range(300)]
-    ids = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
-    words, pairs = Counter(), Counter()
-    for i in ids:
-        t = _tokens(texts[i])
-        words.update(t)
-        pairs.update(zip([None, *t], t, strict=False))
-    n, below = sum(words.values()), sum(words.values()) + 0.1 * (len(words) + 1)
+    texts[7] = texts[5] = texts[3]  # learned from more than once
+    counts = Counter()
+    for i, text in enumerate(texts):
+        t = [None, None, *_tokens(text)]
+        if zlib.crc32(str(i).encode()) % 10:
+            counts.update(tuple(t[k - n : k + 1]) if n < 2 or k > 2 else ("start", t[k]) for k in range(2, len(t)) for n in range(3))
+    singles = {g: c for g, c in counts.items() if len(g) == 1}
+    n, below = sum(singles.values()), sum(singles.values()) + 0.1 * (len(singles) + 1)
     level = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0
 
     def slow(text):
-        out, before = 0.0, None
-        for w in _tokens(text):
-            smooth = (level(words[w]) + 0.1) / below
-            c = level(words[before])
-            out += math.log10(min(1.0, 0.6 * min(1.0, level(pairs[before, w]) / c) + 0.4 * smooth if c else smooth))
-            before = w
+        out, t = 0.0, [None, None, *_tokens(text)]
+        for k in range(2, len(t)):
+            p = (level(counts[(t[k],)]) + 0.1) / below
+            pair, triple = (t[k - 1], t[k]), (t[k - 2], t[k - 1], t[k]) if k > 2 else ("start", t[k])
+            for gram, context in ((pair, level(counts[(t[k - 1],)])), (triple, level(counts[(t[k - 2], t[k - 1]) if k > 2 else (None,)]))):
+                if context:
+                    left = 0.75 / context**0.25
+                    p = min(max(level(counts[gram]) - 0.75, 0) / context, 1 - left) + left * p
+            out += math.log10(min(p, 1))
         return out
 
     got = {r.doc_id: r for r in lm.digest(docs(texts).repartition(3)).collect()}
     assert len(got) == len(texts) and {r.train_tokens for r in got.values()} == {n}
-    off = [abs(got[i].score - slow(texts[i])) / max(1, got[i].n_tokens) for i in range(len(texts))]
-    assert sum(x < 1e-6 for x in off) > 0.7 * len(off) and sum(off) / len(off) < 0.05  # else a level that a filter tells too much
+    off = [(got[i].score - slow(texts[i])) / got[i].n_tokens for i in range(len(texts))]
+    # a filter tells a level too much now and then, which moves a share between orders, and never one too few
+    assert sum(abs(x) < 1e-6 for x in off) > 0.5 * len(off) and sum(map(abs, off)) / len(off) < 0.02
+    assert got[3].score / got[3].n_tokens > max(got[i].score / got[i].n_tokens for i in range(20, 60) if got[i].n_tokens > 5)
 
 
 def test_bloom_filter_counts():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     counts = rng.integers(1, 300, len(h))
-    f = lm.Filter(0, lm.part(counts, lm._ranged(h, 0), 40_000))
+    f = lm.Filter(0, lm.part(counts, lm._ranged(h, 0)))
     got = f.count(h)
     assert (got >= 2.0 ** np.floor(np.log2(counts))).all()  # levels never go missing
     assert (np.abs(np.log2(got) - np.log2(counts)) <= 1.1).mean() > 0.95
     assert (f.count(rng.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.05
-    small = lm.Filter(0, lm.part(counts, lm._ranged(h, 0), 4000))  # no room: the low counts stay out
-    assert (small.count(h[counts > 250]) >= 128).mean() > 0.9 or (small.count(h[counts == 1]) > 0).mean() < 0.3
 
 
 def _shingles(text, size):
