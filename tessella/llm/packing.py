@@ -1,6 +1,6 @@
 """Variable-capacity best-fit packing of texts into sequences of several permitted lengths.
 
-Pieces go by a hash of their id into buckets of some thousand, each packed on its own in one streaming pass. In a
+Pieces go by a hash of their row into buckets of some thousand, each packed on its own in one streaming pass. In a
 bucket pieces come in order of falling length. Each goes to the open bin that it leaves least room in; where none has
 room, a bin opens. All openings (each permitted length as the least to open, and the length of least cost for the
 tokens still to come) are packed side by side, every bin is downsized to the smallest length that holds its contents,
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import token_count
+from .common import stored
+
 #: Permitted lengths in tokens.
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 #: Tokens at which attention costs as much as all else, so a sequence of n costs n * (1 + n / EVEN).
@@ -72,23 +75,25 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
 
 def tokens(text: Column) -> Column:
     """Words between ASCII white space and one end; null counts as empty."""
-    return (F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long")
+    return token_count(text) + 1
 
 
 def pack_rows(df: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """(id, piece, piece_start, n_tokens, bin_id, bin_start, bin_length): rows longer than the largest length in several pieces.
 
-    Rows of null or no length take no bin and give no row. Rows that repeat an id are packed each on its own.
+    Rows of null or no length take no bin and give no row. Rows that repeat an id, or have none, are packed each on its
+    own and spread like others. Lengths are stored once, so a text is read once.
     """
     capacities = tuple(sorted(set(capacities)))
     most = capacities[-1]
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.where(F.col(length_col) > 0).select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("length")).withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows).where("length > 0")
     total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_TOKENS))
-    pieces = rows.select("id", "length", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {most}"))).alias("piece"))
-    pieces = pieces.select("id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).cast("long").alias("start"), F.least(F.lit(most), F.col("length") - F.col("piece") * most).cast("int").alias("n"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
+    pieces = rows.select("id", "row", "length", F.explode(F.sequence(F.lit(0), F.expr(f"(length - 1) div {most}"))).alias("piece"))
+    pieces = pieces.select("id", "row", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).cast("long").alias("start"), F.least(F.lit(most), F.col("length") - F.col("piece") * most).cast("int").alias("n"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)))
 
     def run(batches):
         held: list[tuple] = []
@@ -117,9 +122,19 @@ def pack_rows(df: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens
         if held:
             yield from packed()
 
-    sorted_ = pieces.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"), "id", "piece")
+    sorted_ = pieces.repartition("bucket").sortWithinPartitions("bucket", F.desc("n"), "row", "piece").drop("row")
     return sorted_.mapInArrow(run, f"id {kind}, piece int, piece_start long, n_tokens int, bin_id string, bin_start int, bin_length int").withColumnRenamed("id", id_col)
 
 
+def sequences(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: str = "</s>") -> DataFrame:
+    """(bin_id, bin_length, n_tokens, tokens): what each bin holds in order, words and ends; ids of docs must be distinct."""
+    words = F.filter(F.split(F.translate(F.coalesce(text_col, F.lit("")), "\t\n\x0b\f\r", " " * 5), " "), lambda w: w != "")
+    texts = docs.select(F.col(id_col).alias("_id"), F.concat(words, F.array(F.lit(end))).alias("_words"))
+    rows = packed.join(texts, F.col(id_col) == F.col("_id")).select("bin_id", "bin_length", F.struct("bin_start", F.slice("_words", F.col("piece_start").cast("int") + 1, F.col("n_tokens")).alias("w")).alias("part"))
+    parts = F.array_sort(F.collect_list("part"))  # no more than a bin's length
+    return rows.groupBy("bin_id", "bin_length").agg(F.flatten(F.transform(parts, lambda p: p["w"])).alias("tokens")).select("bin_id", "bin_length", F.size("tokens").alias("n_tokens"), "tokens")
+
+
 def digest(docs: DataFrame) -> DataFrame:
+    """The op3 query: every piece of every document with its bin."""
     return pack_rows(docs.select("doc_id", tokens(F.col("text")).alias("n_tokens")))
