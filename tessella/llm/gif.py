@@ -21,6 +21,8 @@ ROW, ROWS = 192, 256
 #: Hundredths of a second that such a frame stays.
 DELAY_CS = 10
 MAX_CODES = 4096
+#: Pixels of a canvas at most; its histogram takes some twenty bytes for each.
+MAX_PIXELS = 1 << 24
 
 
 def _widths(bits: int) -> np.ndarray:
@@ -244,12 +246,16 @@ def read_gif(data: bytes) -> Gif:
 
 
 def canvases(gif: Gif) -> Iterator[tuple[Frame, np.ndarray]]:
-    """Each frame with the RGBA canvas as shown: transparent samples leave it, disposal acts before the next frame."""
-    canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
+    """Each frame with the RGBA canvas as shown: transparent samples leave it, disposal acts before the next frame.
+
+    The canvas ends where no frame reaches: what lies beyond stays empty, however large the screen is said to be.
+    """
+    high, wide = reach(gif)
+    canvas = np.zeros((high, wide, 4), np.uint8)
     for f in gif.frames:
-        box = (slice(f.top, min(f.top + f.height, gif.height)), slice(f.left, min(f.left + f.width, gif.width)))
+        box = (slice(f.top, min(f.top + f.height, high)), slice(f.left, min(f.left + f.width, wide)))
         before = canvas[box].copy() if f.disposal == 3 else None
-        index = f.samples.reshape(f.height, f.width)[: box[0].stop - f.top, : box[1].stop - f.left] if f.top < gif.height and f.left < gif.width else np.zeros((0, 0), np.uint8)
+        index = f.samples.reshape(f.height, f.width)[: max(0, high - f.top), : max(0, wide - f.left)]
         if index.size:
             colours = np.concatenate([f.palette[np.minimum(index, len(f.palette) - 1)], np.full((*index.shape, 1), 255, np.uint8)], axis=2)
             seen = index != f.transparent
@@ -261,6 +267,11 @@ def canvases(gif: Gif) -> Iterator[tuple[Frame, np.ndarray]]:
             canvas[box] = before
 
 
+def reach(gif: Gif) -> tuple[int, int]:
+    """Rows and columns of the screen that frames touch."""
+    return min(gif.height, max((f.top + f.height for f in gif.frames), default=0)), min(gif.width, max((f.left + f.width for f in gif.frames), default=0))
+
+
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Opaque pixels by the two high bits of red, green and blue: 64 counts."""
     seen = canvas[..., 3] > 0
@@ -268,40 +279,64 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount(rgb @ np.array([16, 4, 1]), minlength=64)
 
 
-def histograms(gif: Gif) -> Iterator[tuple[Frame, np.ndarray]]:
-    """Each frame with the histogram of the canvas as shown; frames that cover all of it need no canvas."""
-    if all(f.transparent < 0 and (f.left, f.top, f.width, f.height) == (0, 0, gif.width, gif.height) for f in gif.frames):
+def histograms(gif: Gif) -> Iterator[tuple[Frame, np.ndarray | None]]:
+    """Each frame with the histogram of the canvas as shown.
+
+    No canvas is needed for frames that cover all of it, nor for a first one inside it. One of over MAX_PIXELS is an
+    error of the GIF, and its frames have no histogram.
+    """
+    inside = lambda f: f.left + f.width <= gif.width and f.top + f.height <= gif.height
+    covers = lambda f: f.transparent < 0 and (f.left, f.top, f.width, f.height) == (0, 0, gif.width, gif.height)
+    if all(map(covers, gif.frames)) or (len(gif.frames) == 1 and inside(gif.frames[0])):
         for f in gif.frames:
             cells = (np.minimum(f.palette, 255) >> 6).astype(np.int64) @ np.array([16, 4, 1])
             used = np.bincount(f.samples, minlength=256)
+            if f.transparent >= 0:
+                used[f.transparent] = 0
             used[len(cells) - 1] += used[len(cells) :].sum()
             yield f, np.bincount(cells, used[: len(cells)], minlength=64).astype(np.int64)
         return
+    high, wide = reach(gif)
+    if high * wide > MAX_PIXELS:
+        gif.error = gif.error or f"a canvas of {wide} x {high}"
+        yield from ((f, None) for f in gif.frames)
+        return
     for f, canvas in canvases(gif):
         yield f, histogram(canvas)
 
 
 def write_gif(frames: list[Frame], width: int, height: int, palette: np.ndarray, loops: int = 0) -> bytes:
-    """A GIF of frames that use the global palette of 256 colours."""
+    """A GIF with a global palette of 256 colours; frames with another palette carry theirs."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
     if len(frames) > 1:
         out += [b"\x21\xff\x0bNETSCAPE2.0\x03\x01", struct.pack("<H", loops), b"\0"]
     for f in frames:
+        own = f.palette is not palette
         out.append(b"\x21\xf9\x04" + struct.pack("<BHB", f.disposal << 2 | (f.transparent >= 0), f.delay_cs, max(f.transparent, 0)) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, f.width, f.height, 0) + b"\x08")
+        out.append(b"\x2c" + struct.pack("<HHHHB", f.left, f.top, f.width, f.height, 0x87 if own else 0))
+        out += [f.palette.astype(np.uint8).tobytes()] if own else []
         stream = lzw_encode(f.samples.tobytes())
-        out += [bytes([len(part)]) + part for part in (stream[k : k + 255] for k in range(0, len(stream), 255))]
+        out += [b"\x08", *(bytes([len(part)]) + part for part in (stream[k : k + 255] for k in range(0, len(stream), 255)))]
         out.append(b"\0")
     return b"".join([*out, b"\x3b"])
 
 
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, 1)
+#: The palette that every second frame of a payload carries.
+NEGATIVE = GREYS[::-1].copy()
+#: The sample that payload frames let the canvas show through: a space.
+CLEAR = 0x20
 
 
 def payload_to_gif(payload: bytes) -> bytes:
-    """Bytes (a multiple of ROW) as grey samples: frames of up to ROWS rows, each over the one before."""
+    """Bytes (a multiple of ROW) as grey samples: frames of up to ROWS rows over each other.
+
+    Spaces are transparent. In turn a frame stays, is cleared and gives way to what stood before it; every second one
+    has a palette of its own. None of this touches the samples.
+    """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    frames = [Frame(0, 0, ROW, len(part), part.reshape(-1), GREYS, DELAY_CS, 1) for part in (rows[k : k + ROWS] for k in range(0, len(rows), ROWS))]
+    parts = [rows[k : k + ROWS] for k in range(0, len(rows), ROWS)]
+    frames = [Frame(0, 0, ROW, len(part), part.reshape(-1), NEGATIVE if k % 2 else GREYS, DELAY_CS, 1 + k % 3, CLEAR) for k, part in enumerate(parts)]
     return write_gif(frames, ROW, min(len(rows), ROWS), GREYS)
 
 
@@ -341,7 +376,7 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             return None, None, None, None, None, None
         gif, start, told = read_gif(data), 0, []
         for k, (f, counts) in enumerate(histograms(gif)):
-            told.append({"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "disposal": f.disposal, "transparent": f.transparent, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "histogram": counts.tolist()})
+            told.append({"frame": k, "start_cs": start, "delay_cs": f.delay_cs, "disposal": f.disposal, "transparent": f.transparent, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "histogram": None if counts is None else counts.tolist()})
             start += f.delay_cs
         return gif.width, gif.height, gif.loops, gif.error, b"".join(f.samples.tobytes() for f in gif.frames), told
 
