@@ -2,7 +2,8 @@
 
 A text is lower-cased and every run of characters that are neither letters nor marks becomes one space. Each language
 has one model of order 4; a text gets the language of the lowest cross-entropy a character. A text is `rejected` if it
-has no letter (`und`), or if that cross-entropy lies above what calibration texts of the language showed.
+has no letter (`und`), or if that cross-entropy lies above what calibration texts of the language showed. Ties go to
+the language that comes first in order of names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from .common import MASK, mix, steps
 ORDER = 4
 #: Expected labelled texts that each language is learned from; a fifth of them calibrate the rejection.
 TEXTS = 2000
-#: Characters that count at most for the confidence.
+#: Characters of evidence that the score assumes at most: all characters count for the entropies, but those of a text
+#: are not independent, and without a bound the score of any longer text would be 1.
 TRUSTED = 60
 SPACE = 0x20
 
@@ -158,9 +160,12 @@ class Model:
         return out, n, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, confidence, cross-entropy and whether it is rejected."""
+        """Language, confidence, cross-entropy and whether it is rejected.
+
+        A model that nothing was learned for says `und`, and rejects only texts without letters.
+        """
         if not self.names:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), grams(texts)[2] == 0
         h, n, letters = self.entropies(texts)
         best = h.argmin(1)
         low = h[np.arange(len(texts)), best]

@@ -189,3 +189,40 @@ def test_license_template_that_begins_with_any_words():
     for begin, want in (("<<var;words=0-1>>", [(1, 4), (2, 4)]), ("<<var;words=1-2>>", [(0, 4), (1, 4)]), ("<<beginOptional>><<var;words=2-2>><<endOptional>>", [(0, 4), (2, 4)])):
         found = license.Scanner({"t": begin + "alpha beta"}, {}).scan(raw, at)[1]
         assert [x[2:] for x in found[0]] == want and [x[2:] for x in found[1]] == ([] if "1-2" in begin else [(0, 2)])
+
+
+def test_screens_of_any_size():
+    """A screen far larger than its frames costs nothing; frames far apart are an error."""
+    pixel = lambda left, top, **more: gif.Frame(left, top, 1, 1, np.array([7], np.uint8), gif.GREYS, **more)
+    small = gif.read_gif(gif.write_gif([pixel(3, 5), pixel(0, 0, transparent=9)], 65535, 65535, gif.GREYS))
+    counts = [h.sum() for _, h in gif.histograms(small)]
+    assert small.error is None and counts == [1, 2] and [c.shape for _, c in gif.canvases(small)] == [(6, 4, 4)] * 2
+    far = gif.read_gif(gif.write_gif([pixel(0, 0), pixel(65534, 65534)], 65535, 65535, gif.GREYS))
+    assert [h for _, h in gif.histograms(far)] == [None, None] and "65535 x 65535" in far.error
+
+
+def test_payload_frames_use_the_format(docs):
+    """Long payloads make several frames; transparency, disposal and palettes change what is shown, not the samples."""
+    rng = random.Random(1)
+    payload = bytes(rng.choice(b"ab \xff\x00 ") for _ in range(gif.ROW * (2 * gif.ROWS + 9)))
+    read = gif.read_gif(gif.payload_to_gif(payload))
+    assert [(f.disposal, f.transparent, f.height) for f in read.frames] == [(1, 32, 256), (2, 32, 256), (3, 32, 9)] and read.error is None
+    assert b"".join(f.samples.tobytes() for f in read.frames) == payload and not np.array_equal(read.frames[0].palette, read.frames[1].palette)
+    grey = lambda b: 21 * (b >> 6)
+    one, two, three = (np.frombuffer(payload, np.uint8)[k : k + gif.ROW * gif.ROWS].astype(int) for k in range(0, len(payload), gif.ROW * gif.ROWS))
+    first = np.where(one == 32, -1, grey(one))
+    second = np.where(two == 32, first, grey(255 - two))
+    third = np.full(len(one), -1)  # the second frame cleared the canvas
+    third[: len(three)] = np.where(three == 32, -1, grey(three))
+    for (_, got), want in zip(gif.histograms(read), (first, second, third), strict=True):
+        assert got.tolist() == np.bincount(want[want >= 0], minlength=64).tolist()
+
+
+def test_ranks_of_both_files_agree():
+    """The table that the encoder reads has the tokens and ranks of the contract's file, all of them."""
+    path = public.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    order = sorted(ranks, key=ranks.get)
+    data, at = bpe.decode_ids(np.array([ranks[t] for t in order]), public.path("byte_bpe_50k.json"))
+    assert len(order) > 50_000 and [bytes(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == order
