@@ -19,7 +19,10 @@ SHINGLE, PERCENT = 5, 80
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts; null, empty and letterless texts go."""
+    """Documents whose language the model accepts; null, empty and letterless texts go.
+
+    Where no document has a language to learn from, nothing else is rejected.
+    """
     model = langid.fit(docs.where(langid.trained_on()))
     return langid.predict(docs, model).where(~F.col("lang_rejected")).select(docs.columns)
 
