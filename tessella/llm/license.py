@@ -24,7 +24,10 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES = {
     "apache-2.0": """<<beginOptional>>this work is<<endOptional>> licensed under the apache license version 2.0
         <<beginOptional>>(the "license"); you may not use this file except in compliance with the license. you may obtain a copy of
-        the license at http://www.apache.org/licenses/LICENSE-2.0<<endOptional>>""",
+        the license at <<var;words=1-1>> www.apache.org/licenses/LICENSE-2.0 <<beginOptional>>unless required by applicable law or
+        agreed to in writing, software distributed under the license is distributed on an "as is" basis, without warranties or
+        conditions of any kind, either express or implied. see the license for the specific language governing permissions and
+        limitations under the license<<endOptional>><<endOptional>>""",
     "cc-by-nc-4.0": """<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>> cc by-nc 4.0
         <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>""",
     "gpl-3.0": """<<beginOptional>>this work is<<endOptional>> licensed under the gnu general public license
@@ -46,7 +49,69 @@ TEMPLATES = {
         permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
         provided that the above copyright notice and this permission notice appear in all copies. the software is provided "as is"
         and <<var;words=1-8>> disclaims all warranties with regard to this software including all implied warranties of
-        merchantability and fitness""",
+        merchantability and fitness. in no event shall <<var;words=1-8>> be liable for any special, direct, indirect, or
+        consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of
+        contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software""",
+    "bsd-2-clause": """<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;words=1-12>><<endOptional>>
+        redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. <<beginOptional>>2<<endOptional>> redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. this software is provided by <<var;words=1-12>> "as is" and any express or implied
+        warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are
+        disclaimed. in no event shall <<var;words=1-12>> be liable for any direct, indirect, incidental, special, exemplary, or
+        consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or
+        profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or
+        tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the
+        possibility of such damage""",
+    "bsd-3-clause": """<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;words=1-12>><<endOptional>>
+        redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice,
+        this list of conditions and the following disclaimer. <<beginOptional>>2<<endOptional>> redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. <<beginOptional>>3<<endOptional>> neither the name of <<var;words=1-12>> nor the
+        names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. this software is provided by <<var;words=1-12>> "as is" and any express or implied warranties, including,
+        but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no
+        event shall <<var;words=1-12>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages
+        (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business
+        interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including
+        negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such
+        damage""",
+    "apache-2.0-text": """apache license version 2.0, january 2004 <<var;words=4-5>> terms and conditions for use, reproduction, and
+        distribution <<beginOptional>>1<<endOptional>> definitions "license" shall mean the terms and conditions for use,
+        reproduction, and distribution as defined by sections 1 through 9 of this document""",
+    "gpl-2.0-notice": """<<beginOptional>>this program<<endOptional>> is free software; you can redistribute it and/or modify it
+        under the terms of the gnu general public license as published by the free software foundation; either version 2 of the
+        license, or (at your option) any later version <<beginOptional>>this program is distributed in the hope that it will be
+        useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.
+        see the gnu general public license for more details<<endOptional>>""",
+    "gpl-3.0-notice": """<<beginOptional>>this program<<endOptional>> is free software: you can redistribute it and/or modify it
+        under the terms of the gnu general public license as published by the free software foundation, either version 3 of the
+        license, or (at your option) any later version <<beginOptional>>this program is distributed in the hope that it will be
+        useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.
+        see the gnu general public license for more details<<endOptional>>""",
+    "lgpl-2.1-notice": """<<beginOptional>>this library<<endOptional>> is free software; you can redistribute it and/or modify it
+        under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of
+        the license, or (at your option) any later version""",
+    "lgpl-3.0-notice": """<<beginOptional>>this library<<endOptional>> is free software; you can redistribute it and/or modify it
+        under the terms of the gnu lesser general public license as published by the free software foundation; either version 3 of
+        the license, or (at your option) any later version""",
+    "agpl-3.0-notice": """<<beginOptional>>this program<<endOptional>> is free software: you can redistribute it and/or modify it
+        under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of
+        the license, or (at your option) any later version""",
+    "mpl-2.0-notice": """this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was
+        not distributed with this file, you can obtain one at <<var;words=1-1>> mozilla.org/mpl/2.0""",
+    "cc-by-4.0": """<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>>
+        <<beginOptional>>the<<endOptional>> creative commons attribution 4.0 <<beginOptional>>international<<endOptional>>
+        <<beginOptional>>license<<endOptional>>""",
+    "cc-by-sa-4.0": """<<beginOptional>>this work is<<endOptional>> licensed under <<beginOptional>>a<<endOptional>>
+        <<beginOptional>>the<<endOptional>> creative commons attribution-sharealike 4.0
+        <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>""",
+    "cc0-1.0": """cc0 1.0 universal <<beginOptional>>cc0 1.0 public domain dedication<<endOptional>>""",
+    "unlicense": """this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+        commercial or non-commercial, and by any means""",
 }
 
 
@@ -77,6 +142,11 @@ class Automaton:
     def after(self, states: set[int], word: int) -> set[int]:
         return self.closed({t for s in states for t in (self.step[s].get(word, -1), self.any[s]) if t >= 0})
 
+    @property
+    def longest(self) -> int:
+        """Words of the longest text that matches: every part lies on the way to the end."""
+        return sum(map(len, self.step)) + sum(s >= 0 for s in self.any)
+
     def match(self, hashes: list[int]) -> int:
         """Words in the longest match at the start of the list; 0: none."""
         states, longest, end = self.closed({0}), 0, len(self.step) - 1
@@ -217,14 +287,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The op7 contract. score: 1 with a template, 0.5 with phrases alone, else 0."""
-    base = F.filter("found", lambda x: x["kind"] == "phrase")
+    """The op7 contract. score: half with phrases alone; with templates half more by the share of a template's wording that stands in the text, the largest."""
+    of = lambda kind: F.filter("found", lambda x: x["kind"] == kind)
+    base, own = of("phrase"), of("template")
+    most = F.create_map(*[F.lit(x) for label, t in TEMPLATES.items() for x in (label, compile_template(label, t).longest)])
+    share = F.array_max(F.transform(own, lambda x: (x["end_word"] - x["first_word"]) / F.element_at(most, x["label"])))
     starts = F.transform(base, lambda x: x["first_word"])
     labels = lambda x: F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(x, lambda y: y["label"]))))
     return scan(docs).select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         labels(base).alias("base_labels"), labels(F.col("found")).alias("labels"),
-        F.when(F.exists("found", lambda x: x["kind"] == "template"), 1.0).when(F.size("found") > 0, 0.5).otherwise(0.0).alias("score"),
+        F.when(F.size("found") == 0, 0.0).otherwise(0.5 + 0.5 * F.coalesce(share, F.lit(0.0))).alias("score"),
     )
 
 
@@ -245,14 +318,18 @@ def _sql() -> str:
     found = lambda phrase: "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split(), 1)) + ")"
     bases = ", ".join(f"{found(p)} AS b{k}" for k, p in enumerate(PHRASES))
     base = [f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values())]
-    more = [f"CASE WHEN regexp_matches(line, '{_sql_pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items()]
+    more = [f"CASE WHEN len(m{k}) > 0 THEN '{label}' END" for k, label in enumerate(TEMPLATES)]
+    most = {label: compile_template(label, t).longest for label, t in TEMPLATES.items()}
+    shares = ", ".join(f"list_max(list_transform(m{k}, lambda x: len(string_split(trim(x), ' '))))::DOUBLE / {n}" for k, n in enumerate(most.values()))
+    hits = ", ".join(f"regexp_extract_all(line, '{_sql_pattern(t)}') AS m{k}" for k, t in enumerate(TEMPLATES.values()))
     joined = lambda x: f"array_to_string(list_sort(list_filter([{', '.join(x)}], lambda y: y IS NOT NULL)), ',')"
     places = "list_concat(" * (len(PHRASES) - 1) + "b0" + "".join(f", b{k})" for k in range(1, len(PHRASES)))
     return f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
     f AS (SELECT doc_id, len(w) AS n_words, array_to_string(w, ' ') || ' ' AS line, {bases} FROM t),
-    g AS (SELECT doc_id, n_words, {places} AS places, {joined(base)} AS base_labels, {joined(base + more)} AS labels, {joined(more)} AS own FROM f)
+    m AS (SELECT *, {hits} FROM f),
+    g AS (SELECT doc_id, n_words, {places} AS places, {joined(base)} AS base_labels, {joined(base + more)} AS labels, list_max([{shares}]) AS share FROM m)
     SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, base_labels, labels,
-    CASE WHEN own <> '' THEN 1.0::DOUBLE WHEN base_labels <> '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM g"""
+    CASE WHEN labels <> '' THEN 0.5::DOUBLE + 0.5::DOUBLE * coalesce(share, 0) ELSE 0.0::DOUBLE END AS score FROM g"""
 
 
 ORACLE = _sql()

@@ -164,7 +164,8 @@ def test_op7_contract(spark, docs, odd, empty, sf):
             assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == _slow_scan(texts[r.doc_id])
             assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     got = {r.doc_id: (r.labels, r.score) for r in license.digest(some).collect()}
-    assert got[0] == ("reserved,rights-reserved", 1.0) and got[2] == ("gpl,gpl-3.0", 1.0) and got[1] == ("cc-by", 0.5) and got[3] == ("", 0.0)
+    # a template's share of its longest form: 3 of 13 words, 12 of 23
+    assert got[0] == ("reserved,rights-reserved", pytest.approx(0.5 + 1.5 / 13)) and got[2] == ("gpl,gpl-3.0", pytest.approx(0.5 + 6 / 23)) and got[1] == ("cc-by", 0.5) and got[3] == ("", 0.0)
     assert license.digest(empty).count() == 0
 
 
@@ -183,6 +184,38 @@ def test_template_markup():
     assert not [f for f in scanner.scan(changed, np.array([0, len(changed)]))[1][0] if f[1] == "mit"]
 
 
+#: Notices as projects print them, with the labels of the templates that they must get.
+NOTICES = {
+    "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.": "gpl-3.0-notice",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2.0-notice",
+    "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl-2.1-notice",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "mpl-2.0-notice",
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless': "apache-2.0",
+    "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.": "apache-2.0-text",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    "Licensed under the Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.": "unlicense",
+}
+
+
+def test_notices_as_they_are_printed(docs):
+    texts = [f"{before}{text}{after}" for text in NOTICES for before, after in (("", ""), ("Some words first. ", "\nMore words."))]
+    want = [label for label in NOTICES.values() for _ in range(2)]
+    rows = license.digest(docs(texts)).orderBy("doc_id").collect()
+    own = lambda r: set(filter(None, r.labels.split(","))) - set(license.PHRASES.values())
+    assert [own(r) for r in rows] == [{w} for w in want] and all(0.5 < r.score <= 1 for r in rows)
+    # one word of the mandatory wording changed: nothing but the phrases is left
+    changed = [t.replace("redistribute", "share").replace("obtain", "get").replace("Attribution", "Contribution").replace("unencumbered", "open").replace("Definitions", "Terms").replace("Version 2.0 (", "Version 3.0 (") for t in NOTICES]
+    assert [own(r) for r in license.digest(docs(changed)).collect()] == [set()] * len(changed)
+
+
+def test_bsd_conditions_tell_the_licenses_apart(docs):
+    filled = lambda label: " ".join(license.TEMPLATES[label].replace("<<var;words=1-12>>", "Jane Doe").replace("<<beginOptional>>", "").replace("<<endOptional>>", "").split())
+    texts = [filled("bsd-2-clause"), filled("bsd-3-clause"), filled("isc").replace("<<var;words=1-8>>", "the author"), filled("bsd-3-clause").replace("endorse", "praise")]
+    got = [set(r.labels.split(",")) for r in license.digest(docs(texts)).orderBy("doc_id").collect()]
+    assert got == [{"bsd-2-clause"}, {"bsd-3-clause"}, {"isc"}, {""}]
+
+
 def test_license_template_that_begins_with_any_words():
     raw = np.frombuffer(b"One two alpha beta. alpha beta", np.uint8)
     at = np.array([0, 20, len(raw)])
