@@ -178,13 +178,27 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def blocked(rows: DataFrame, key: str, item: str, block: int, counts: DataFrame | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str, size: int, part: int = 64 << 20) -> DataFrame:
+    """df by key in parts of `part` bytes where that takes more of them than the session's shuffles make."""
+    parts = size // part
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def blocked(rows: DataFrame, key: str, item: str, block: int, counts: DataFrame | None = None, loose: str | None = None) -> DataFrame:
     """rows with own, i, j: groups of `key` of over `block` rows fall into blocks, and every two blocks meet in one (key, i, j).
 
-    Groups of one row are left out. counts: (key, n), if there is a cheaper way to them than the rows.
+    Groups of one row are left out. counts: (key, n), if there is a cheaper way to them than the rows. With a column
+    `loose`, blocks hold either rows for which it is true or others, and the others' blocks don't meet each other.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    sizes = stored(counts.where("n > 1").select(key, F.ceil(F.col("n") / block).alias("blocks")))
-    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(item), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    place, zero = F.xxhash64(item), F.lit(0).cast("long")
+    if loose is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+        sizes = stored(counts.where("n > 1").select(key, F.ceil(F.col("n") / block).alias("_a")))
+        rows = rows.join(sizes, key).withColumn("own", F.pmod(place, F.col("_a"))).withColumn("_last", F.col("_a") - 1)
+    else:
+        n = lambda c: F.ceil(F.count(F.when(c, 1)) / block)
+        sizes = stored(rows.groupBy(key).agg(n(F.col(loose)).alias("_a"), n(~F.col(loose)).alias("_b")).where("_a > 0"))
+        own = F.when(F.col(loose), F.pmod(place, F.col("_a"))).otherwise(F.col("_a") + F.pmod(place, F.greatest(F.col("_b"), F.lit(1).cast("long"))))
+        rows = rows.join(sizes, key).withColumn("own", own).withColumn("_last", F.when(F.col(loose), F.col("_a") + F.col("_b") - 1).otherwise(F.col("_a") - 1))
+    rows = rows.withColumn("_other", F.explode(F.sequence(zero, "_last")))
+    return rows.withColumn("i", F.least("own", "_other")).withColumn("j", F.greatest("own", "_other")).drop("_other", "_a", "_b", "_last")

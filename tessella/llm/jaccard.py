@@ -5,7 +5,8 @@ common part in both, so a bucket of equal subsets links without a comparison. He
 their prefixes: of n shingles the first n - ceil(t n) + 1 in an order that puts frequent ones last, one of which any
 linked set shares. Which size is the last light one follows from the cost of both ways on the data. Classes of a list
 are compared in blocks by parity sketches, which never rule out a link; what they connect is compared exactly, again
-in blocks, and pairs that are connected already need no comparison. Nothing is dropped or capped.
+in blocks, and pairs that are connected already need no comparison: in a group of over a block, those linked with its
+center are not compared with each other. Nothing is dropped or capped.
 
 Null and empty texts, and those without words, have no shingles and link with nothing. Ids pass through, null ones too,
 and may be of any type that has an order; they only name components, so rows that share an id, or have none, are each
@@ -285,11 +286,48 @@ def candidates(groups: DataFrame, percent: int) -> DataFrame:
             u, v = forest(*(np.concatenate(z) for z in zip(*held, strict=True)))
         return pa.table({"u": u, "v": v})
 
-    return blocked(groups, "list", "node", BLOCK).groupBy("list", "i", "j").applyInArrow(compare, "u long, v long")
+    def near(n, sketch, others, shingles):
+        return np.unique(np.concatenate([q for _, q, _ in _near(np.array([n]), [sketch], np.array([x for x, _ in others]), [x for _, x in others], percent)] or [np.zeros(0, int)]))
 
+    return _in_blocks(groups, "list", groups.groupBy("list").agg(F.count("*").alias("n")), compare, near)
 
-def verified(groups: DataFrame, percent: int) -> DataFrame:
-    """(u, v): true links that connect all linked classes of a group, from rows (root, node, n, sketch, shingles)."""
+
+def _in_blocks(groups: DataFrame, key: str, counts: DataFrame, compare, near) -> DataFrame:
+    """(u, v): links of all groups from `compare` on pairs of blocks.
+
+    In groups of over a block, each member is first held against the one that the group is named by, its center. Those
+    that `near` tells to be linked with it are linked with each other through it, so their blocks need not meet: a large
+    group of copies takes time in proportion to its size, times the blocks of members that are far from its center.
+    """
+    counts = stored(counts)
+    large = counts.where(F.col("n") > BLOCK).select(key)
+    if large.isEmpty():
+        return blocked(groups, key, "node", BLOCK, counts).groupBy(key, "i", "j").applyInArrow(compare, "u long, v long")
+    columns = groups.columns
+    extra = "shingles" if "shingles" in columns else "sketch"
+    center = groups.where(F.col("node") == F.col(key)).select(key, F.col("n").alias("_n"), F.col("sketch").alias("_sketch"), F.col(extra).alias("_extra"))
+
+    def mark(batches):
+        for batch in batches:
+            keys = batch.column(key).to_numpy()
+            loose = np.ones(batch.num_rows, bool)
+            for k in np.unique(keys):
+                rows = np.flatnonzero(keys == k)
+                part = batch.take(pa.array(rows))
+                others = list(zip(part.column("n").to_pylist(), part.column("sketch").to_pylist(), strict=True))
+                first = part.slice(0, 1)
+                loose[rows[near(first.column("_n")[0].as_py(), first.column("_sketch")[0].as_py(), others, (first.column("_extra")[0].as_py(), part.column(extra).to_pylist()))]] = False
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(loose)], [*columns, "loose"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.select(columns).schema)
+    marked = stored(groups.join(large, key).join(center, key).mapInArrow(mark, f"{schema}, loose boolean"))
+    stars = marked.where(~F.col("loose") & (F.col("node") != F.col(key))).select(F.col("node").alias("u"), F.col(key).alias("v"))
+    pairs = blocked(marked, key, "node", BLOCK, loose="loose").drop("loose").unionByName(blocked(groups, key, "node", BLOCK, counts.where(F.col("n") <= BLOCK)))
+    return pairs.groupBy(key, "i", "j").applyInArrow(compare, "u long, v long").unionByName(stars)
+
+
+def verified(groups: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """(u, v): true links that connect all linked classes of a group, from rows (root, node, n, sketch, shingles); counts: (root, n)."""
 
     def compare(key, block):
         (a, b), node, n, sk = _block(block, key)
@@ -325,7 +363,12 @@ def verified(groups: DataFrame, percent: int) -> DataFrame:
                 out.append((u, v))
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    return blocked(groups, "root", "node", BLOCK).groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
+    def near(n, sketch, others, shingles):
+        center, sets = np.frombuffer(shingles[0], np.uint64), [np.frombuffer(x, np.uint64) for x in shingles[1]]
+        common = np.array([np.isin(x, center, assume_unique=True).sum() for x in sets], np.int64)
+        return np.flatnonzero(100 * common >= percent * (len(center) + np.array([len(x) for x in sets], np.int64) - common))
+
+    return _in_blocks(groups, "root", counts, compare, near)
 
 
 #: Bits of the map that tells which documents take part in the exact comparison; others are only read more.
@@ -377,11 +420,11 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     )
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= LIGHT_MAX).groupBy("n").agg(F.count("*").alias("c")).collect()}
     last = boundary(sizes, percent)
-    lists = listed(classes, -(-percent * (last + 1) // 100), percent, common).join(classes.select("node", "n", "sketch"), "node")
+    lists = stored(listed(classes, -(-percent * (last + 1) // 100), percent, common).join(classes.select("node", "n", "sketch"), "node"))
     roots = components(candidates(lists, percent))
     told = stored(roots.join(classes.select("node", "h", "n", "sketch"), "node"))
     whole = told.join(sets_of(docs, told, size).groupBy("node", "h").agg(F.first("shingles").alias("shingles")), ["node", "h"]).drop("h")
-    found = stored(components(verified(whole, percent).unionByName(light_links(classes, last, percent))).join(classes.select("node", "least"), "node"))
+    found = stored(components(verified(whole, told.groupBy("root").agg(F.count("*").alias("n")), percent).unionByName(light_links(classes, last, percent))).join(classes.select("node", "least"), "node"))
     names = found.groupBy("root").agg(F.min("least").alias("component_id"))
     ends = classes.select("node", "least").join(found.join(names, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     rows = every.where("n > 0").select("id", "n", F.col("set").alias("node")).join(ends, "node").select("id", "n", "component_id")
