@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, chained, hash_word, mix, small_batches, steps, stored, utf8, word_hashes, words
+from .common import binary_column, chained, hash_word, mix, small_batches, spread, steps, stored, utf8, word_hashes, words
 
 #: Bits of the filter for each level of a count.
 LEVEL_BITS = 12
@@ -202,7 +202,7 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view(k).reshape(-1) for x, k in zip(np.split(rows, np.cumsum(widths)[:-1]), kinds, strict=True)]
 
 
-def answered(chunked: DataFrame, bits: int) -> DataFrame:
+def answered(chunked: DataFrame, bits: int, size: int) -> DataFrame:
     """(chunk, range, levels, counts, n, v): for a chunk's n-grams in one of 2^bits ranges their levels, for its words their counts.
 
     Both are of all texts learned from, in the order of the hashes. A row without chunk has a range's tokens n and words v.
@@ -247,7 +247,7 @@ def answered(chunked: DataFrame, bits: int) -> DataFrame:
         return pa.concat_tables([out, whole])
 
     grams = chunked.select("chunk", "learn", "sizes", "raw").mapInArrow(send, "chunk long, range long, grams binary, words binary")
-    return grams.groupBy("range").applyInArrow(answer, "chunk long, range long, levels binary, counts binary, n long, v long")
+    return spread(grams, "range", size).groupBy("range").applyInArrow(answer, "chunk long, range long, levels binary, counts binary, n long, v long")
 
 
 def smoothed(word: np.ndarray, two: np.ndarray, three: np.ndarray, starts: np.ndarray, end: float, below: float) -> np.ndarray:
@@ -278,7 +278,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     chunked = stored(chunks(docs, learn, id_col, text_col))
     bytes_ = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, bytes_) / RANGE_BYTES)))
-    answers = stored(answered(chunked, bits))
+    answers = stored(answered(chunked, bits, bytes_))
     n, v = answers.where("chunk is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     below = n + 0.1 * (v + 1)
 
@@ -295,8 +295,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         sums = [np.bincount(owner, x, rows) for x in (taught > 0, np.log10((taught + 0.1) / below), np.log10(p))]
         return pa.table({"id": texts.column("ids")[0].values, "n_tokens": size.astype(np.int64), "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
 
-    told = chunked.select("chunk", "ids", "sizes", "raw").groupBy("chunk").cogroup(answers.where("chunk is not null").groupBy("chunk"))
-    rows = told.applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double")
+    texts, told = (spread(x, "chunk", bytes_).groupBy("chunk") for x in (chunked.select("chunk", "ids", "sizes", "raw"), answers.where("chunk is not null")))
+    rows = texts.cogroup(told).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base double, score double")
     return rows.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 

@@ -267,6 +267,7 @@ def test_lm_in_many_parts(spark, sf, monkeypatch):
     want = rows()
     monkeypatch.setattr(lm, "RANGE_BYTES", 5000)
     monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "spread", lambda df, key, size: df.repartition(9, key))
     assert rows() == want
 
 
@@ -367,6 +368,26 @@ def test_jaccard_against_brute_force(docs, seed, size, percent, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) < len(texts) - 20
 
 
+def test_large_groups_around_a_center(docs, monkeypatch):
+    """Chains and stars of copies over many blocks: those far from a group's center are compared with all."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(80)]
+        for _ in range(30):
+            own = list(base)
+            own[rng.randrange(80)] = word()
+            texts.append(" ".join(own))
+        for k in range(25):  # each like the one before, the ends unlike
+            base[k * 3] = word()
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs(texts)).collect()}
+    assert got == _slow_join(texts, 4, 85)
+
+
 def test_light_and_heavy_meet(docs, monkeypatch):
     texts = _near_texts(5)
     want = _slow_join(texts, 4, 85)
