@@ -2,47 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, token_count
 
 
-def greedy_bins(sizes: Column, max_items: int, max_size: int) -> Column:
-    """For an array of sizes the bin of each, from 0: a bin closes before it would exceed either limit; a large item stands alone."""
-    start = F.struct(F.array().cast("array<int>").alias("bins"), F.lit(0).alias("bin"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"))
+def greedy_starts(sizes: np.ndarray, max_items: int, max_size: int) -> list[int]:
+    """Where bins begin: a bin closes before it would exceed either limit; a large item stands alone."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    starts, at = [], 0
+    while at < len(sizes):
+        starts.append(at)
+        at = max(at + 1, min(at + max_items, int(np.searchsorted(upto, upto[at] + max_size, "right")) - 1))
+    return starts
 
-    def step(s, x):
-        opens = (s["n"] > 0) & ((s["n"] >= max_items) | (s["size"] + x > max_size))
-        bin_ = F.when(opens, s["bin"] + 1).otherwise(s["bin"])
-        return F.struct(
-            F.concat(s["bins"], F.array(bin_)).alias("bins"), bin_.alias("bin"), F.when(opens, 1).otherwise(s["n"] + 1).alias("n"),
-            F.when(opens, x).otherwise(s["size"] + x).cast("long").alias("size"),
-        )
 
-    return F.aggregate(sizes, start, step)["bins"]
+def embedding_batches(texts: DataFrame, max_items: int = 128, max_tokens: int = 100_000, key: str = "source", order: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, order, est_tokens, batch): each key's texts in order cut into requests within both limits, by estimated tokens.
 
-
-def embedding_batches(texts: DataFrame, max_items: int = 128, max_tokens: int = 100_000, key: str = "source", order: str = "doc_id", text: str = "text", part: int = 1000) -> DataFrame:
-    """(key, part, order, est_tokens, batch): texts in order cut into requests within both limits, by estimated tokens.
-
-    A key's texts are dealt out in parts of `part` consecutive order values, each batched on its own, so a large key
-    is no single task.
+    Requests of a key follow from all texts before them, so its sizes pass through one task, as numbers in a stream of
+    which nothing is held but the open request. Texts stay where they are.
     """
-    rows = texts.select(F.col(key), F.floor(F.col(order) / part).cast("long").alias("part"), F.col(order), estimated_tokens(text).alias("est_tokens"))
-    lists = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct(order, "est_tokens"))).alias("items"))
-    lists = lists.withColumn("bins", greedy_bins(F.col("items")["est_tokens"], max_items, max_tokens))
-    return lists.select(key, "part", F.explode(F.arrays_zip("items", "bins")).alias("x")).select(key, "part", f"x.items.{order}", "x.items.est_tokens", F.col("x.bins").alias("batch"))
+    rows = texts.select(F.col(key).alias("key"), F.col(order).alias("item"), estimated_tokens(text).alias("est_tokens"))
+
+    def run(batches):
+        now, first, batch_no, items, size = None, True, 0, 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column("key").to_pylist(), batch.column("est_tokens").to_pylist(), strict=True):
+                if first or k != now:
+                    now, first, batch_no, items, size = k, False, 0, 0, 0
+                elif items >= max_items or size + n > max_tokens:
+                    batch_no, items, size = batch_no + 1, 0, 0
+                items, size = items + 1, size + n
+                out.append(batch_no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    placed = rows.repartition("key").sortWithinPartitions("key", "item").mapInArrow(run, f"key {kinds['key']}, item {kinds['item']}, est_tokens long, batch int")
+    return placed.select(F.col("key").alias(key), F.col("item").alias(order), "est_tokens", "batch")
 
 
 def line_chunks(texts: DataFrame, max_tokens: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, chunk, start_line, end_line, tokens): windows of consecutive lines within the limit; a longer line stands alone.
 
-    Lines count from 1. Greedy windows reset at each cut, so a text's lines are folded in order inside its row.
+    Lines count from 1. Only the lines' token counts leave the JVM.
     """
-    rows = texts.where(F.col(text).isNotNull()).select(id_col, F.transform(F.split(text, "\n"), lambda x: token_count(x)).alias("sizes"))
-    rows = rows.select(id_col, F.posexplode(F.arrays_zip("sizes", greedy_bins(F.col("sizes"), 1 << 30, max_tokens).alias("bin"))))
-    return rows.groupBy(id_col, F.col("col.bin").alias("chunk")).agg((F.min("pos") + 1).alias("start_line"), (F.max("pos") + 1).alias("end_line"), F.sum("col.sizes").alias("tokens"))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.transform(F.split(text, "\n"), lambda x: token_count(x)).alias("sizes"))
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column("sizes").value_lengths().to_numpy()
+            ends = np.cumsum(lengths)
+            flat = batch.column("sizes").flatten().to_numpy()
+            owner, chunk, first, last, tokens = ([] for _ in range(5))
+            for row, (n, end) in enumerate(zip(lengths.tolist(), ends.tolist(), strict=True)):
+                sizes = flat[end - n : end]
+                starts = greedy_starts(sizes, n + 1, max_tokens)
+                owner += [row] * len(starts)
+                chunk += range(len(starts))
+                first += [s + 1 for s in starts]
+                last += [*starts[1:], n]
+                tokens.append(np.add.reduceat(sizes, starts))
+            sums = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner, pa.int64())), pa.array(chunk, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(sums, pa.int64())], names)
+
+    names = ["id", "chunk", "start_line", "end_line", "tokens"]
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, chunk int, start_line int, end_line int, tokens long").withColumnRenamed("id", id_col)
 
 
 def read_spans(files: DataFrame, requests: DataFrame, max_lines: int = 400) -> DataFrame:

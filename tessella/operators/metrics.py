@@ -63,6 +63,20 @@ def attribute_calls(messages: DataFrame, calls: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("call_id", "bucket").agg(F.sum("tokens").alias("tokens"))
 
 
+def attribute_turns(turns: DataFrame, system_tokens: int, key: str = "conv_id") -> DataFrame:
+    """attribute_calls for whole conversations, whose calls send all turns before them: running sums by origin.
+
+    turns: key, step, role, origin (null: history), tokens. A call is an assistant turn, named key:step.
+    """
+    before = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    origin = F.coalesce(F.nullif(F.col("origin"), F.lit("")), F.lit("history"))
+    own = {b: origin == b for b in ("history", "retrieved_code")}
+    sums = {b: F.sum(F.when(c, F.col("tokens"))).over(before) for b, c in own.items()}  # null without such a turn
+    parts = [F.struct(F.lit(b).alias("bucket"), c.alias("tokens")) for b, c in {"system": F.lit(system_tokens).cast("long"), **sums, "output": F.col("tokens")}.items()]
+    rows = turns.withColumn("_parts", F.array(*parts)).where("role = 'assistant'")
+    return rows.select(F.concat_ws(":", key, "step").alias("call_id"), F.inline("_parts")).where("tokens is not null")
+
+
 def aggregate_arms(runs: DataFrame) -> DataFrame:
     """One row per (arm, budget) of runs: means, the pooled cache share, and success over localization runs alone.
 

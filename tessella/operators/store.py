@@ -16,13 +16,13 @@ SCHEMA = "id long, path string, start_line int, end_line int, kind string, conte
 def embedding_plan(chunks: DataFrame, stored: DataFrame, anywhere: bool = False) -> DataFrame:
     """chunks with content_sha and the stored vec where the path (or with `anywhere` any path) has that content, else null."""
     keys = ["content_sha"] if anywhere else ["path", "content_sha"]
-    known = stored.groupBy(*keys).agg(F.first("vec").alias("vec"))
+    known = stored.groupBy(*keys).agg(F.min("vec").alias("vec"))
     return chunks.withColumn("content_sha", content_sha("content")).join(known, keys, "left").select(*chunks.columns, "content_sha", "vec")
 
 
 def embed_missing(plan: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """plan with every vec filled: `embed` gets the rows without one, by distinct content, as (content_sha, content), and adds vec."""
-    missing = plan.where(F.col("vec").isNull()).groupBy("content_sha").agg(F.first("content").alias("content"))
+    missing = plan.where(F.col("vec").isNull()).groupBy("content_sha").agg(F.min("content").alias("content"))
     fresh = embed(missing).select("content_sha", F.col("vec").alias("_fresh"))
     return plan.join(fresh, "content_sha", "left").withColumn("vec", F.coalesce("vec", "_fresh")).drop("_fresh").withColumn("dim", F.size("vec"))
 

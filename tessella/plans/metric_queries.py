@@ -112,10 +112,8 @@ def bucket_order(spark, sf_dir):
 def call_attribution(spark, sf_dir):
     from ..functions.text import token_count
 
-    rows = turns(spark, sf_dir).withColumn("tokens", token_count("content"))
-    calls = rows.where("role = 'assistant'").select("conv_id", F.col("step").alias("at"), F.concat_ws(":", "conv_id", "step").alias("call_id"), F.lit(50).cast("long").alias("system_tokens"), F.col("tokens").alias("output_tokens"))
-    sent = rows.join(calls.select("conv_id", "at", "call_id"), "conv_id").where("step < at").select("call_id", F.when(F.col("role") == "tool", "retrieved_code").alias("origin"), "tokens")
-    return metrics.attribute_calls(sent, calls)
+    rows = turns(spark, sf_dir).withColumn("tokens", token_count("content")).withColumn("origin", F.when(F.col("role") == "tool", "retrieved_code"))
+    return metrics.attribute_turns(rows, 50)
 
 
 @query(

@@ -106,7 +106,7 @@ def _ranked(spark, sf_dir):
 
 @query(f"WITH {RANKED_SQL} SELECT task_id, budget, full_count, skeleton_count, dropped, tokens, kept_full_tokens, sha256(text) AS text_sha FROM a")
 def assemble_pack(spark, sf_dir):
-    return assembly.assemble(_ranked(spark, sf_dir), numbers(spark, BUDGETS)).withColumn("text_sha", F.sha2("text", 256)).drop("text")
+    return assembly.assemble(_ranked(spark, sf_dir), numbers(spark, BUDGETS)).withColumn("text_sha", F.sha2("text", 256)).drop("text", "ranked_tokens")
 
 
 SWEEP_SQL = f"""{RANKED_SQL}, one AS (SELECT task_id, sum(full_tokens) AS stage_one_tokens FROM ranked GROUP BY 1),
@@ -116,9 +116,7 @@ sw AS (SELECT budget, round(avg(tokens), 6) AS mean_tokens, round(coalesce(avg((
 
 
 def _sweep(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir)
-    one = ranked.groupBy("task_id").agg(F.sum("full_tokens").alias("stage_one_tokens"))
-    return assembly.sweep(assembly.assemble(ranked, numbers(spark, BUDGETS), with_text=False), one)
+    return assembly.sweep(assembly.assemble(_ranked(spark, sf_dir), numbers(spark, BUDGETS), with_text=False))
 
 
 @query(f"WITH {SWEEP_SQL} SELECT * FROM sw")
@@ -132,11 +130,11 @@ def drop_boundary(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE d AS (SELECT source, doc_id // 1000 AS part, doc_id, octet_length(encode(coalesce(text, ''))) // 4 + 1 AS est_tokens, row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) AS n FROM documents),
-    r AS (SELECT source, part, doc_id, est_tokens, n, 0 AS batch, 1 AS items, est_tokens AS size FROM d WHERE n = 1
-      UNION ALL SELECT d.source, d.part, d.doc_id, d.est_tokens, d.n, CASE WHEN items >= 16 OR size + d.est_tokens > 4000 THEN batch + 1 ELSE batch END, CASE WHEN items >= 16 OR size + d.est_tokens > 4000 THEN 1 ELSE items + 1 END,
-        CASE WHEN items >= 16 OR size + d.est_tokens > 4000 THEN d.est_tokens ELSE size + d.est_tokens END FROM r JOIN d ON d.source = r.source AND d.part = r.part AND d.n = r.n + 1)
-    SELECT source, part, doc_id, est_tokens, batch FROM r"""
+    """WITH RECURSIVE d AS (SELECT source, doc_id, octet_length(encode(coalesce(text, ''))) // 4 + 1 AS est_tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    r AS (SELECT source, doc_id, est_tokens, n, 0 AS batch, 1 AS items, est_tokens AS size FROM d WHERE n = 1
+      UNION ALL SELECT d.source, d.doc_id, d.est_tokens, d.n, CASE WHEN items >= 16 OR size + d.est_tokens > 4000 THEN batch + 1 ELSE batch END, CASE WHEN items >= 16 OR size + d.est_tokens > 4000 THEN 1 ELSE items + 1 END,
+        CASE WHEN items >= 16 OR size + d.est_tokens > 4000 THEN d.est_tokens ELSE size + d.est_tokens END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)
+    SELECT source, doc_id, est_tokens, batch FROM r"""
 )
 def batch_pack(spark, sf_dir):
     return chunks.embedding_batches(table(spark, sf_dir, "documents"), 16, 4000)
