@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Folders that a scan leaves out, besides those that begin with a dot.
 SKIPPED = {"vendor", "node_modules"}
@@ -79,13 +80,15 @@ def task_violations(tasks: DataFrame, target_sha: str | None = "-") -> DataFrame
 
 
 def write_records(records: DataFrame, root: str) -> None:
-    """Meter records as JSON, one folder a stage."""
-    records.select("*", F.col("stage").alias("_stage")).write.mode("append").partitionBy("_stage").json(root)
+    """Meter records as JSON, a folder for each stage and task; a record replaces what its stage and task had."""
+    parts = records.select("*", F.col("stage").alias("_stage"), F.col("task_id").alias("_task"))
+    parts.repartition("_stage", "_task").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_stage", "_task").json(root)
 
 
 def read_records(spark: SparkSession, root: str, stage: int | None = None, strict: bool = True) -> DataFrame:
     """Records of all stages or one; a broken file fails a strict read, and is left out otherwise."""
-    rows = spark.read.schema(RECORD).option("mode", "FAILFAST" if strict else "DROPMALFORMED").option("multiLine", False).json(root)
+    mode = "FAILFAST" if strict else "DROPMALFORMED"
+    rows = spark.read.schema(RECORD).option("mode", mode).option("multiLine", False).option("recursiveFileLookup", True).json(root)
     return rows if stage is None else rows.where(F.col("stage") == stage)
 
 
@@ -107,5 +110,39 @@ def paged_rows(fetch: Callable[[int, int], dict], page: int = 100) -> Iterator[d
             return
 
 
+class PagedReader(DataSourceReader):
+    """Pages are read by the workers; a service that doesn't tell its total is read page by page by one of them."""
+
+    def __init__(self, fetch: Callable[[int, int], dict], page: int, fields: list[str]):
+        self.fetch, self.page, self.fields = fetch, page, fields
+
+    def partitions(self) -> list[InputPartition]:
+        total = self.fetch(0, 1).get("num_rows_total")
+        return [InputPartition(None)] if total is None else [InputPartition(at) for at in range(0, int(total), self.page)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value is None:
+            rows = paged_rows(lambda at, n: {"num_rows_total": 1 << 62} | self.fetch(at, n), self.page)
+        else:
+            rows = (r.get("row", r) for r in self.fetch(partition.value, self.page).get("rows") or [])
+        yield from (tuple(r.get(c) for c in self.fields) for r in rows)
+
+
 def paged_source(spark: SparkSession, fetch: Callable[[int, int], dict], schema: str, page: int = 100) -> DataFrame:
-    return spark.createDataFrame([json.loads(json.dumps(r)) for r in paged_rows(fetch, page)], schema)
+    """Rows of a paged JSON service; `fetch` must work on the workers."""
+    fields = spark.createDataFrame([], schema).columns
+    shape, label = schema, f"paged_{uuid.uuid4().hex}"
+
+    class PagedSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return label
+
+        def schema(self) -> str:
+            return shape
+
+        def reader(self, schema) -> PagedReader:
+            return PagedReader(fetch, page, fields)
+
+    spark.dataSource.register(PagedSource)
+    return spark.read.format(label).load()

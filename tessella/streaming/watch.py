@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import ChunkStore
+from ..sources.files import source_paths
 
 #: Event kinds that count as changes.
 CHANGES = ("write", "create", "remove", "rename")
@@ -48,14 +53,75 @@ def watch_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", True).json(folder)
 
 
+class TreeReader(SimpleDataSourceStreamReader):
+    """Scans of a tree, each told apart from the one before: (path, op, ts) of files that appeared, changed or went."""
+
+    def __init__(self, root: str, suffix: str):
+        self.root, self.suffix = root, suffix
+        self.seen: dict[str, tuple[int, int]] = {}
+        self.log: dict[int, list[tuple]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"scan": 0}
+
+    def scan(self) -> list[tuple]:
+        now, found = datetime.datetime.now(), {}
+        for path in source_paths(self.root, self.suffix):
+            with contextlib.suppress(OSError):  # gone meanwhile
+                s = os.stat(os.path.join(self.root, path))
+                found[path] = s.st_mtime_ns, s.st_size
+        before, self.seen = self.seen, found
+        ops = {p: "create" if p not in before else "write" for p, state in found.items() if before.get(p) != state}
+        return [(p, op, now) for p, op in (ops | dict.fromkeys(before.keys() - found.keys(), "remove")).items()]
+
+    def read(self, start: dict):
+        rows = self.scan()
+        end = start["scan"] + bool(rows)
+        self.log[end] = rows
+        return iter(rows), {"scan": end}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        """What scans told; a reader that has started anew tells all there is, so a handler sees every change at least once."""
+        known = range(start["scan"] + 1, end["scan"] + 1)
+        return iter([r for k in known for r in self.log[k]] if all(k in self.log for k in known) else self.scan())
+
+    def commit(self, end: dict) -> None:
+        for k in [k for k in self.log if k <= end["scan"]]:
+            del self.log[k]
+
+
+class TreeSource(DataSource):
+    """A folder tree that the driver sees, watched for files of a suffix; folders that a scan skips are skipped here too."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, op string, ts timestamp"
+
+    def simpleStreamReader(self, schema) -> TreeReader:
+        return TreeReader(self.options["root"], self.options.get("suffix", ".py"))
+
+
+def watch_tree(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
+    """Changes of files below a folder as a stream (path, op, ts): each micro-batch is a scan of the tree."""
+    spark.dataSource.register(TreeSource)
+    return spark.readStream.format("source_tree").option("root", root).option("suffix", suffix).load()
+
+
 def keep_current(changed: DataFrame, store: ChunkStore, read: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
-    """Bring a store up to date from a stream of changed paths: `read` gives (path, content) of those that exist; others are deleted."""
+    """Bring a store up to date from a stream of changed paths: `read` gives (path, content) of those that exist; others are deleted.
+
+    A micro-batch is one write. stop() of the returned query ends it between writes.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
-        paths = batch.where(F.col("path").endswith(".py")).select("path").distinct()
+        paths = batch.where(F.col("path").endswith(".py")).select("path").distinct().persist()
         files = read(paths).persist()
-        store.delete(paths.join(files.select("path"), "path", "left_anti"))
-        store.upsert(chunk(files), embed)
+        # a file without chunks loses those it had
+        store.apply(chunk(files), paths, embed)
         files.unpersist()
+        paths.unpersist()
 
     return changed.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

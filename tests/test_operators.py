@@ -243,6 +243,13 @@ def test_store_keeps_vectors_of_known_content(spark, tmp_path):
     assert best.content == "def b" and best.score >= 0.99
     s.delete(spark.createDataFrame([("b.py",)], "path string"))
     assert s.count() == 2 and s.read().where("path = 'b.py'").count() == 0
+    parts = s._manifest()["parts"]
+    many = spark.range(40).select(F.format_string("p%d.py", "id").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("function").alias("kind"), F.col("id").cast("string").alias("content"))
+    assert s.build(many, lambda f: f, embed) == 40 and s.count() == 42 and s.read().select("id").distinct().count() == 42
+    s.delete(spark.createDataFrame([("p7.py",), ("none.py",)], "path string"))
+    assert s.count() == 41 and len(set(s._manifest()["parts"].values()) - set(parts.values())) > 5
+    before, held = s._manifest()["before"], s.read()
+    assert s.vacuum() > 0 and held.count() == 41 and s._read(before).count() == 42 and s.vacuum() == 0
 
 
 def test_patches(spark):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ def test_records(spark, tmp_path):
     root = str(tmp_path / "runs")
     files.write_records(spark.createDataFrame([("a", 1, {"system": 3}, 3), ("b", 2, {"output": 4}, 4)], files.RECORD), root)
     assert [r.total for r in files.read_records(spark, root, 1).collect()] == [3]
+    files.write_records(spark.createDataFrame([("a", 1, {"system": 5}, 5), ("c", 1, {}, 0)], files.RECORD), root)  # a rerun replaces its own record
+    assert sorted((r.task_id, r.stage, r.total) for r in files.read_records(spark, root).collect()) == [("a", 1, 5), ("b", 2, 4), ("c", 1, 0)]
     (tmp_path / "runs" / "_stage=1" / "broken.json").write_text("{not json\n")
-    assert len(files.read_records(spark, root, strict=False).collect()) == 2
+    assert len(files.read_records(spark, root, strict=False).collect()) == 3
     with pytest.raises(Exception):
         files.read_records(spark, root, strict=True).collect()
 
@@ -51,7 +54,44 @@ def test_trajectories(spark, tmp_path):
 def test_paged(spark):
     rows = [{"row": {"k": i}} for i in range(5)]
     got = files.paged_source(spark, lambda at, n: {"rows": rows[at : at + n], "num_rows_total": 5}, "k long", 2)
-    assert sorted(r.k for r in got.collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.k for r in got.collect()) == [0, 1, 2, 3, 4] and got.rdd.getNumPartitions() == 3
+    untold = files.paged_source(spark, lambda at, n: {"rows": rows[at : at + n]}, "k long", 2)
+    assert sorted(r.k for r in untold.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_watch_a_tree(spark, tmp_path):
+    root, store = tmp_path / "repo", ChunkStore(spark, str(tmp_path / "store"))
+    (root / "pkg").mkdir(parents=True), (root / ".git").mkdir()
+    (root / "pkg" / "a.py").write_text("def f():\n    return 1\n")
+    (root / ".git" / "x.py").write_text("def hidden():\n    pass\n")
+    (root / "b.txt").write_text("no source")
+    reader = watch.TreeReader(str(root), ".py")
+    rows, end = reader.read(reader.initialOffset())
+    assert [r[:2] for r in rows] == [("pkg/a.py", "create")] and end == {"scan": 1}
+    assert [r[:2] for r in reader.readBetweenOffsets({"scan": 0}, end)] == [("pkg/a.py", "create")]
+    (root / "pkg" / "a.py").write_text("def f():\n    return 22\n")
+    (root / "new").mkdir()
+    (root / "new" / "c.py").write_text("def g():\n    pass\n")
+    assert sorted(r[:2] for r in reader.read(end)[0]) == [("new/c.py", "create"), ("pkg/a.py", "write")]
+    (root / "new" / "c.py").unlink()
+    assert [r[:2] for r in reader.read({"scan": 2})[0]] == [("new/c.py", "remove")] and not list(reader.read({"scan": 3})[0])
+    embed = lambda rows: rows.withColumn("vec", fake_embedding(F.col("content"), 4))
+    read = lambda paths: files.scan_sources(spark, str(root)).join(paths, "path", "left_semi")
+    q = watch.keep_current(watch.changes(watch.watch_tree(spark, str(root))), store, read, pysource.python_chunks, embed, str(tmp_path / "cp"), processingTime="1 second")
+    try:
+        until(lambda: [r.content for r in store.read().collect()] == ["def f():\n    return 22"])
+        (root / "pkg" / "a.py").unlink()
+        (root / "d.py").write_text("class D:\n    x = 1\n")
+        until(lambda: [(r.path, r.kind) for r in store.read().collect()] == [("d.py", "class_header")])
+    finally:
+        q.stop()
+
+
+def until(done, seconds=90):
+    end = time.time() + seconds
+    while not done():
+        assert time.time() < end
+        time.sleep(0.5)
 
 
 def test_reports(spark):
