@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def _bpe_encoding(path: str | None):
 
 
 def _bpe_counter(path: str | None):
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         encode = _bpe_encoding(path).encode_ordinary
@@ -59,6 +58,11 @@ def truncate_chars(text: ColumnOrName, n: int) -> Column:
     return _col(text) if n <= 0 else F.substring(_col(text), 1, n)
 
 
+def truncate_bytes(text: ColumnOrName, n: int) -> Column:
+    """The first n bytes of a text's UTF-8 form, as binary: error messages keep 200 of them, transcripts 1500."""
+    return F.substring(F.encode(_col(text), "UTF-8"), 1, n)
+
+
 def flatten_spaces(text: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(_col(text), r"\s+", " "))
 

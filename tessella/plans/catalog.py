@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history_queries, metric_queries, retrieval_queries, source_queries, store_queries, text_queries  # noqa: F401  they register
+from . import agent_queries, history_queries, io_queries, metric_queries, retrieval_queries, source_queries, store_queries, text_queries  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 

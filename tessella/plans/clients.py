@@ -98,6 +98,21 @@ def positive_numbers(name: str, default: tuple[int, ...] = (3000,), env: Mapping
     return got or default
 
 
+def whole_number(name: str, default: int, env: Mapping[str, str] = os.environ) -> int:
+    """A variable's whole number; the default where it is unset or none."""
+    try:
+        return int(env.get(name, "").strip())
+    except ValueError:
+        return default
+
+
+def number(name: str, default: float, env: Mapping[str, str] = os.environ) -> float:
+    try:
+        return float(env.get(name, "").strip())
+    except ValueError:
+        return default
+
+
 #: Service names and the variables that hold their keys.
 PROVIDERS = {"voyage": "VOYAGE_API_KEY", "openai": "OPENAI_API_KEY"}
 
@@ -114,7 +129,7 @@ def embedder_from_env(post_to: Callable[[str, str], Callable[[dict], Reply]], in
     if not key:
         raise ValueError(f"{PROVIDERS[provider]} is not set")
     typed = provider == "voyage"
-    cut = 0 if typed else int(env.get("EMBED_MAX_CHARS", MAX_CHARS))
+    cut = 0 if typed else whole_number("EMBED_MAX_CHARS", MAX_CHARS, env)
     return HttpEmbedder(post_to(provider, key), env.get("EMBED_MODEL", ""), input_type if typed else None, cut)
 
 

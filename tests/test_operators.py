@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import json
 import random
 
@@ -77,6 +78,19 @@ def test_summaries_and_tokens(spark):
     assert history.size_summary("head\na b c d", 2) == "head a b"
 
 
+def test_bpe_tokens(spark):
+    import public_tokenizers as public
+    import tiktoken
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", None, "def f(x):\n    return x + 1\n", "Ünïcode 漢字 \U0001f600 it's", "a" * 5000, "<|endoftext|>"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.token_count("t", "bpe", path)).collect()] == [len(own.encode_ordinary(t or "")) for t in texts]
+
+
 FULL, SKELETON = 31, 4
 
 
