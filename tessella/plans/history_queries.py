@@ -78,7 +78,7 @@ def replay_uncompressed(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PLAIN_SQL} SELECT conv_id, prompt, count(*) AS blocks, count(*) FILTER (cached) AS cached_blocks, coalesce(sum(tokens) FILTER (cached), 0)::BIGINT AS cached,
+    f"""WITH {PLAIN_SQL} SELECT conv_id, prompt, count(*)::INTEGER AS blocks, (count(*) FILTER (cached))::INTEGER AS cached_blocks, coalesce(sum(tokens) FILTER (cached), 0)::BIGINT AS cached,
     coalesce(sum(tokens) FILTER (NOT cached), 0)::BIGINT AS fresh FROM s GROUP BY 1, 2"""
 )
 def prefix_cache_split(spark, sf_dir):

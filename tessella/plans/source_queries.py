@@ -91,17 +91,19 @@ _MERGED_SQL = f"""{SOURCES_SQL}, w AS (SELECT *, 6 + n_words + 3 * k AS n FROM f
 
 
 @query(
-    f"""WITH RECURSIVE {_MERGED_SQL} SELECT path, a::INTEGER AS start_line, max(z)::INTEGER AS end_line, 'function' AS kind, max(n)::BIGINT AS tokens FROM r GROUP BY path, a
-    UNION ALL SELECT path, s + 4, s + 9, 'method', 9 FROM c UNION ALL SELECT path, s + 7, s + 9, 'class_header', 5 FROM c UNION ALL SELECT path, s, s + 9, 'class_header', 13 FROM c"""
+    f"""WITH RECURSIVE {_MERGED_SQL}, m AS (SELECT path, a, max(z) AS z, 'function' AS kind, max(n) AS n FROM r GROUP BY path, a
+    UNION ALL SELECT path, s + 4, s + 9, 'method', 9 FROM c UNION ALL SELECT path, s + 7, s + 9, 'class_header', 5 FROM c UNION ALL SELECT path, s, s + 9, 'class_header', 13 FROM c)
+    SELECT path, a::INTEGER AS start_line, z::INTEGER AS end_line, kind, n::BIGINT AS tokens FROM m"""
 )
 def py_chunks_merged(spark, sf_dir):
     return pysource.python_chunks(sources(spark, sf_dir), most=MERGED, merge=True).select("path", "start_line", "end_line", "kind", token_count("content").alias("tokens"))
 
 
 @query(
-    f"""WITH {_CHUNKS_SQL} SELECT path, a::INTEGER AS start_line, z::INTEGER AS end_line, 'function' AS kind, content AS skeleton, NOT contains(content, chr(10)) AS parses FROM h
+    f"""WITH {_CHUNKS_SQL}, v AS (SELECT path, a, z, 'function' AS kind, content AS skeleton, NOT contains(content, chr(10)) AS parses FROM h
     UNION ALL SELECT path, a, z, 'function', split_part(content, '\"\"\"', 1) || '\"\"\"' || split_part(content, '\"\"\"', 2) || '\"\"\"' || chr(10) || '    ...  # body omitted — expand via ' || path || ':' || a || '-' || z, true FROM o
-    UNION ALL SELECT path, a, z, kind, CASE kind WHEN 'method' THEN split_part(content, chr(10), 1) || chr(10) || '    ...  # body omitted — expand via ' || path || ':' || a || '-' || z ELSE content END, kind = 'method' FROM m"""
+    UNION ALL SELECT path, a, z, kind, CASE kind WHEN 'method' THEN split_part(content, chr(10), 1) || chr(10) || '    ...  # body omitted — expand via ' || path || ':' || a || '-' || z ELSE content END, kind = 'method' FROM m)
+    SELECT path, a::INTEGER AS start_line, z::INTEGER AS end_line, kind, skeleton, parses FROM v"""
 )
 def py_skeleton(spark, sf_dir):
     return pysource.python_skeletons(pysource.python_chunks(sources(spark, sf_dir), most=MOST)).select("path", "start_line", "end_line", "kind", "skeleton", "parses")
@@ -114,8 +116,8 @@ def py_symbols_sql(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SYMBOLS_SQL} SELECT doc_id AS patch_id, path, s::INTEGER AS start_line, e::INTEGER AS end_line, 1 AS place FROM f WHERE j = 1
-    UNION ALL SELECT doc_id, path, s, s + 9, 2 FROM c UNION ALL SELECT doc_id, path, s + 4, s + 5, 3 FROM c"""
+    f"""WITH {_SYMBOLS_SQL}, p AS (SELECT doc_id, path, s, e, 1 AS place FROM f WHERE j = 1 UNION ALL SELECT doc_id, path, s, s + 9, 2 FROM c UNION ALL SELECT doc_id, path, s + 4, s + 5, 3 FROM c)
+    SELECT doc_id AS patch_id, path, s::INTEGER AS start_line, e::INTEGER AS end_line, place FROM p"""
 )
 def patch_gold(spark, sf_dir):
     """Patches that name a document's first function twice, its class, a method and a function that it lacks."""
