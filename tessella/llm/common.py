@@ -178,7 +178,7 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def spread(df: DataFrame, key: str, size: int, part: int = 64 << 20) -> DataFrame:
+def spread(df: DataFrame, key: str, size: int, part: int = 16 << 20) -> DataFrame:
     """df by key in parts of `part` bytes where that takes more of them than the session's shuffles make."""
     parts = size // part
     return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
