@@ -96,6 +96,12 @@ def aggregate_arms(runs: DataFrame) -> DataFrame:
     )
 
 
+def with_success(runs: DataFrame) -> DataFrame:
+    """runs (error, bucket, recall) with `success`: a localization run without an error that found all of its gold."""
+    good = (F.coalesce("error", F.lit("")) == "") & (F.col("bucket") == "localization") & (F.col("recall") >= 1.0)
+    return runs.withColumn("success", F.coalesce(good, F.lit(False)))
+
+
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key; without keys the first of all."""
     if not keys:

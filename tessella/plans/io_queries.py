@@ -7,16 +7,19 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
+from ..functions import pysource
+from ..functions.text import anchor
 from ..functions.vectors import decode_vector, encode_vector, fake_embedding
 from ..operators import metrics
 from ..operators.retrieval import search_text
 from ..operators.store import ChunkStore
 from ..sources import files, reports
 from ..sources.shared import shared_dir
-from ..streaming.watch import changes
+from ..streaming.watch import changes, keep_current, watch_events
 from .metric_queries import _COUNTS_SQL, _counts
 from .registry import query, table, tokens_sql
 from .retrieval_queries import SPANS_SQL, SWEEP_SQL, TOPK_SQL, _spans, _sweep
+from .source_queries import SOURCES_SQL, sources
 
 
 def _lines(text):
@@ -117,6 +120,25 @@ def repo_scan(spark, sf_dir):
     return files.scan_sources(spark, root).select("path", F.sha2("content", 256).alias("content_sha"))
 
 
+@query(
+    """SELECT item_id::VARCHAR AS id, text AS query, CASE WHEN item_id % 2 = 0 THEN 'localization' ELSE 'enumeration' END AS bucket, 'src/' || item_id || '.py:' || (item_id % 9 + 1) || '-' || (item_id % 9 + 5) AS gold FROM benchmark"""
+)
+def task_file(spark, sf_dir):
+    """Benchmark items as tasks of a file, loaded and valid."""
+    import yaml
+
+    rows = table(spark, sf_dir, "benchmark").collect()  # some dozens
+    tasks = [{"id": str(r.item_id), "query": r.text, "bucket": "enumeration" if r.item_id % 2 else "localization", "gold": [{"path": f"src/{r.item_id}.py", "start": r.item_id % 9 + 1, "end": r.item_id % 9 + 5}]} for r in rows]
+    folder = urlparse(shared_dir(spark, "tasks")).path
+    os.makedirs(folder)
+    with open(os.path.join(folder, "tasks.yaml"), "w", encoding="utf-8") as f:
+        yaml.safe_dump({"target_repo": "r", "target_sha": "abc", "tasks": tasks}, f, allow_unicode=True)
+    head, loaded = files.load_tasks(spark, os.path.join(folder, "tasks.yaml"))
+    wrong = files.task_violations(loaded, head["target_sha"]).select("id").distinct()
+    gold = F.col("gold")[0]
+    return loaded.join(wrong, "id", "left_anti").select("id", "query", "bucket", anchor(gold["path"], gold["start"], gold["end"]).alias("gold"))
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def paged_service(spark, sf_dir):
     """Nations as a service gives them, seven to a page."""
@@ -159,3 +181,23 @@ def event_changes(spark, sf_dir):
     return changes(table(spark, sf_dir, "events"), ("click", "error"), "event_type", F.col("user_id") % 2 == 0).select("event_id", "event_type")
 
 
+
+
+@query(
+    f"""WITH {SOURCES_SQL}, v AS (SELECT path, 'function' AS kind, 1 AS n FROM f UNION ALL SELECT path, unnest(['method', 'method', 'class_header', 'class_header']), 1 FROM d UNION ALL SELECT path, 'function', 1 FROM d WHERE doc_id % 4 = 0)
+    SELECT path, kind, count(*) AS chunks FROM v WHERE path NOT IN (SELECT path FROM d WHERE doc_id % 4 = 1) GROUP BY 1, 2"""
+)
+def watched_store(spark, sf_dir):
+    """A store of all sources after a stream of events: a quarter of the files has a function more, another is gone."""
+    every = sources(spark, sf_dir)
+    more = F.when(F.col("doc_id") % 4 == 0, F.concat("content", F.lit("\n\ndef more():\n    return 0\n"))).otherwise(F.col("content"))
+    now = every.where("doc_id % 4 <> 1").select("path", more.alias("content"))
+    root = shared_dir(spark, "watched")
+    store = ChunkStore(spark, f"{root}/store")
+    embed = lambda rows: rows.withColumn("vec", fake_embedding(F.col("content_sha"), 4))
+    store.build(every.select("path", "content"), pysource.python_chunks, embed)
+    kind = F.when(F.col("doc_id") % 4 == 0, "write").when(F.col("doc_id") % 4 == 1, "remove").otherwise("chmod")
+    every.select("path", kind.alias("op")).write.json(f"{root}/events")
+    feed = changes(watch_events(spark, f"{root}/events", "path string, op string"))
+    keep_current(feed, store, lambda paths: now.join(paths, "path", "left_semi"), pysource.python_chunks, embed, f"{root}/progress").awaitTermination()
+    return store.read().groupBy("path", "kind").agg(F.count("*").alias("chunks"))

@@ -136,7 +136,11 @@ def mean_retrieved_code(spark, sf_dir):
     return runs(spark, sf_dir).agg(F.round(F.coalesce(F.avg(F.coalesce(F.col("buckets")["retrieved_code"], F.lit(0))), F.lit(0.0)), 6).alias("mean_tokens"))
 
 
-@query("SELECT doc_id, quality = 1 AND toxic = 0 AS success, CASE WHEN toxic = 0 THEN 'localization' ELSE 'enumeration' END AS bucket FROM labels")
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'enumeration' ELSE 'localization' END AS bucket, coalesce(toxic = 0, true) AND doc_id % 3 <> 0 AND coalesce((quality + doc_id % 2) / 2 >= 1, false) AS success FROM labels"""
+)
 def task_success(spark, sf_dir):
-    local = F.col("toxic") == 0
-    return table(spark, sf_dir, "labels").select("doc_id", (local & (F.col("quality") >= 1.0)).alias("success"), F.when(local, "localization").otherwise("enumeration").alias("bucket"))
+    """Labelled documents as runs: toxic ones failed with an error, quality and an odd id are the halves of recall."""
+    bucket = F.when(F.col("doc_id") % 3 == 0, "enumeration").otherwise("localization")
+    rows = table(spark, sf_dir, "labels").select("doc_id", bucket.alias("bucket"), F.when(F.col("toxic") == 1, "timeout").alias("error"), ((F.col("quality") + F.col("doc_id") % 2) / 2).alias("recall"))
+    return metrics.with_success(rows).select("doc_id", "bucket", "success")

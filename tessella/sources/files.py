@@ -27,31 +27,55 @@ TRAJECTORY = (
 def source_paths(root: str, suffix: str = ".py") -> Iterator[str]:
     """Relative paths in name order; what can't be read is left out."""
     for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if not d.startswith(".") and d not in SKIPPED)
+        folders[:] = _folders(folder)
         yield from (os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/") for n in sorted(names) if n.endswith(suffix))
 
 
 def scan_sources(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
     """(path, content) of a source tree on a file system that all workers share.
 
-    Spark's own listing hides names that begin with _ or a dot, so __init__.py would be missing; the tree is walked
-    here and files are read by the workers.
+    Spark's own listing hides names that begin with _ or a dot, so __init__.py would be missing. The driver looks only
+    into as many folders as give each worker some; workers walk what lies below and read the files.
     """
-    paths = list(source_paths(root, suffix))
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism)))
+    wanted = 4 * spark.sparkContext.defaultParallelism
+    todo, flat = [""], []  # folders to walk whole, and those of which only their own files are left
+    while todo and len(todo) < wanted:
+        flat += todo
+        todo = [os.path.join(f, d) for f in todo for d in _folders(os.path.join(root, f))]
+    rows = [(f, True) for f in todo] + [(f, False) for f in flat]
+    folders = spark.createDataFrame(rows, "folder string, whole boolean").repartition(max(1, min(len(rows), wanted)))
 
     def read(frames):
         for frame in frames:
-            out = []
-            for p in frame.path:
-                try:
-                    with open(os.path.join(root, p), encoding="utf-8", errors="replace", newline="") as f:
-                        out.append((p, f.read()))
-                except OSError:
-                    continue
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    return rows.mapInPandas(read, "path string, content string")
+            for folder, whole in zip(frame.folder, frame.whole, strict=True):
+                base = os.path.join(root, folder)
+                names = source_paths(base, suffix) if whole else (n for n in _names(base) if n.endswith(suffix) and os.path.isfile(os.path.join(base, n)))
+                out, size = [], 0
+                for n in names:
+                    try:
+                        with open(os.path.join(base, n), encoding="utf-8", errors="replace", newline="") as f:
+                            out.append((os.path.join(folder, n).replace(os.sep, "/"), f.read()))
+                    except OSError:
+                        continue
+                    size += len(out[-1][1])
+                    if size > 16 << 20:
+                        yield pd.DataFrame(out, columns=["path", "content"])
+                        out, size = [], 0
+                yield pd.DataFrame(out, columns=["path", "content"])
+
+    return folders.mapInPandas(read, "path string, content string")
+
+
+def _names(folder: str) -> list[str]:
+    try:
+        return sorted(os.listdir(folder))
+    except OSError:
+        return []
+
+
+def _folders(folder: str) -> list[str]:
+    """Folders that a scan goes into."""
+    return [n for n in _names(folder) if not n.startswith(".") and n not in SKIPPED and os.path.isdir(os.path.join(folder, n)) and not os.path.islink(os.path.join(folder, n))]
 
 
 def load_tasks(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
