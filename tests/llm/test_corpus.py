@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import components, embeddings, jaccard, langid, lines, lm, packing, queries, shards
+from tessella.llm import bpe, components, embeddings, gif, jaccard, langid, license, lines, lm, packing, queries, shards
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -31,6 +31,27 @@ def test_odd_rows_and_empty_tables(odd, empty, name):
         assert got.count() == odd.count()
 
 
+def test_null_ids(spark):
+    """Rows without an id are rows like others: each gets its own result, the same as a row of that text with an id."""
+    texts = ["one two three four five\nsix seven\neight nine\nten", "der Hund und die Katze", "Licensed under the Apache License, Version 2.0", "", None]
+    rows = [(i, t, "en", "s", 1) for k, t in enumerate(texts) for i in (None, k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, f in queries.queries().items():
+        if name.startswith(("op5_", "op4_", "op2_", "op9_")):
+            continue
+        digest = {"op1": gif.digest, "op3": packing.digest, "op6": bpe.digest, "op7": license.digest, "op8": lm.digest, "op10": langid.identify}[name.split("_")[0]]
+        got = digest(df)
+        own = [c for c in got.columns if c not in ("doc_id", "held_out", "bin_id", "bin_start", "bin_length")]
+        known, unknown = (Counter(tuple(r[c] for c in own) for r in got.where(w).collect()) for w in ("doc_id is not null", "doc_id is null"))
+        assert known == unknown and sum(known.values()) == len(texts), name
+    # without ids first: of equal windows that of the row without an id stays, and null keys count as empty
+    cut = {r.doc_id: r.n_removed for r in lines.digest(df.where("text like 'one%'")).collect()}
+    assert cut == {None: 0, 0: 4}
+    assert shards.digest(df).where("doc_id is null").count() == len(texts)
+    same = {(r.doc_id, r.component_id) for r in jaccard.digest(df.where("length(text) > 0")).collect()}
+    assert same == {(None, 0), (0, 0), (None, 1), (1, 1), (None, 2), (2, 2)}
+
+
 def _slow_lines(texts):
     """Texts in id order with later windows of three lines taken out."""
     seen, out = set(), []
@@ -399,13 +420,19 @@ def test_light_and_heavy_meet(docs, monkeypatch):
 
 def test_sketches_never_rule_out_links():
     rng = np.random.default_rng(2)
-    for n in (3, 500, 515, 1100):
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: int(0.93 * len(a))], rng.integers(0, 2**63, len(a) // 30).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        linked = 100 * both >= 85 * (len(a) + len(b) - both)
-        near = [x for p, _, _ in jaccard._near(np.array([len(a)]), [jaccard.sketch(a)], np.array([len(b)]), [jaccard.sketch(b)], 85) for x in p]
-        assert not linked or near
+    links = 0
+    for n in (3, 40, 500, 515, 1100):
+        for share in (0.8, 0.93, 0.97, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(0, 2**63, len(a) // 30).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            near = [x for p, _, _ in jaccard._near(np.array([len(a)]), [jaccard.sketch(a)], np.array([len(b)]), [jaccard.sketch(b)], 85) for x in p]
+            if 100 * both >= 85 * (len(a) + len(b) - both):
+                links += 1
+                assert near == [0]
+    assert links >= 10
+    far = [jaccard.sketch(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(2)]
+    assert not list(x for p, _, _ in jaccard._near(np.array([400]), far[:1], np.array([400]), far[1:], 85) for x in p)
 
 
 def test_language_id(spark):
@@ -509,6 +536,58 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Kept ids and texts after each of the first three stages, and what packing holds, with null and repeated ids."""
+    rng = random.Random(21)
+    german, english = (["der", "die", "und", "nicht", "ein", "Haus", "Straße", "schön", "auch", "wir", "über", "gegangen"], ["the", "and", "of", "house", "street", "with", "walked", "which", "their", "over", "nothing", "light"])
+    sentence = lambda words, n: " ".join(rng.choice(words) + str(rng.randrange(10)) * (rng.random() < 0.3) for _ in range(n))
+    rows = []
+    for k in range(60):
+        words = (german, english)[k % 2]
+        rows.append((k if k % 7 else None, "\n".join(sentence(words, rng.randint(4, 12)) for _ in range(rng.randint(1, 8))), ("de", "en")[k % 2]))
+    passage = "\n".join(sentence(english, 9) for _ in range(4))
+    rows += [(103, passage, "en"), (100, rows[3][1] + "\n" + passage, "en"), (101, passage + "\n" + rows[5][1] + " more", "en"), (102, rows[9][1] + " end", "en"), (7, rows[11][1] + " end", "en"), (7, sentence(german, 80), "de")]
+    rows += [(8, "12 34 !", "en"), (9, None, "en"), (None, "", "de"), (105, "qzxv jkwq " * 40, None), (8, rows[8][1], "de")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    model = langid.fit(docs.where(langid.trained_on()))
+    rejected = model.predict([t or "" for _, t, _ in rows])[3]
+    left = [(i, t) for (i, t, _), no in zip(rows, rejected, strict=True) if not no]
+    assert not {"12 34 !", None, "", "qzxv jkwq " * 40} & {t for _, t in left} and len(left) > 60
+    got = corpus_pipeline.keep_identified(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(left)
+
+    key = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in left], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(set(left), key=lambda x: (x[0] is not None, x[0] or 0, key[x[1]]))  # rows that agree in both are one document
+    after = dict(zip(order, _slow_lines([t for _, t in order]), strict=True))
+    assert sum(after[x] != x[1] for x in order) >= 2 and "" in after.values()
+    left = [(x[0], after[x]) for x in left if after[x] == x[1] or after[x].strip(" ")]
+    got = corpus_pipeline.drop_repeated_lines(spark, got, "")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(left) and got.where("n_chars <> length(text)").count() == 0
+
+    groups = defaultdict(list)
+    for k, (_, root) in _slow_join([t for _, t in left], corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT).items():
+        groups[root].append(left[k])
+    near = corpus_pipeline.drop_near_copies(spark, got, "")
+    kept = Counter((r.doc_id, r.text) for r in near.collect())
+    assert sum(kept.values()) == len(groups) < len(left)
+    for own in groups.values():  # the smallest id of each group; of null ids or repeated ones, any text
+        least = min((i for i, _ in own if i is not None), default=None)
+        assert sum(kept[x] for x in set(own)) == 1 and any(kept[x] for x in own if x[0] == least)
+
+    sums, whole = Counter(), Counter()
+    for r in corpus_pipeline.pack(spark, near, "").collect():
+        sums[r.doc_id] += r.n_tokens
+    for (i, t), n in kept.items():
+        whole[i] += n * (len(t.split()) + 1)
+    assert sums == whole
+    sums = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        sums[r.doc_id] += r.n_tokens
+    assert sum(sums.values()) == pytest.approx(sum(whole.values()), abs=40)  # of null ids another copy may stay
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, empty):
     for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), empty):
         ids = {r.doc_id for r in docs.collect()}
