@@ -15,8 +15,6 @@ from ..sources.shared import shared_dir
 
 #: Bytes of text that one vectorised step takes at most, unless a single text is longer.
 STEP_BYTES = 2 << 20
-#: Rows of texts in an Arrow batch.
-BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +48,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most BATCH_ROWS rows at a time: a batch of whole texts is held by both sides at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def _release() -> None:
     """Give freed memory back to the system, so workers that live on don't add up."""
     pa.default_memory_pool().release_unused()

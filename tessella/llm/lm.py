@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, chained, hash_word, mix, small_batches, spread, steps, stored, utf8, word_hashes, words
+from .common import binary_column, chained, hash_word, mix, spread, steps, stored, utf8, word_hashes, words
 
 #: Bits of the filter for each level of a count.
 LEVEL_BITS = 12
@@ -273,7 +273,6 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     Null texts count as empty. Rows need no distinct ids; null ids pass through and are not learned from where `learn`
     is null for them. base_score adds up exact counts; score takes counts of words, pairs and triples from the filter.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     chunked = stored(chunks(docs, learn, id_col, text_col))
     bytes_ = chunked.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
