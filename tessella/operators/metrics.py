@@ -96,6 +96,19 @@ def aggregate_arms(runs: DataFrame) -> DataFrame:
     )
 
 
+def ledger_sum(calls: DataFrame, keys: list[str], overhead: Column | None = None) -> DataFrame:
+    """Per run the tokens of all calls: a map by bucket, with the summarizer's as `compression`, and the usage that services told.
+
+    calls: keys, buckets (map), prompt_tokens, cached_tokens, completion_tokens; overhead: tokens of a call's summaries.
+    """
+    usage = ["prompt_tokens", "cached_tokens", "completion_tokens"]
+    sums = calls.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in usage])
+    buckets = F.col("buckets") if overhead is None else F.map_concat("buckets", F.create_map(F.lit("compression"), overhead))
+    each = calls.select(*keys, F.explode(buckets).alias("bucket", "tokens")).groupBy(*keys, "bucket").agg(F.sum("tokens").alias("tokens"))
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("bucket", "tokens"))))
+    return each.where("bucket <> 'compression' or tokens > 0").groupBy(*keys).agg(entries.alias("buckets")).join(sums, keys)
+
+
 def with_success(runs: DataFrame) -> DataFrame:
     """runs (error, bucket, recall) with `success`: a localization run without an error that found all of its gold."""
     good = (F.coalesce("error", F.lit("")) == "") & (F.col("bucket") == "localization") & (F.col("recall") >= 1.0)

@@ -19,9 +19,25 @@ class Reply:
     headers: Mapping[str, str]
 
 
+#: Bytes of an embedding service's error, of a chat service's, and of a transcript's message that are kept.
+EMBED_ERROR, CHAT_ERROR, TRANSCRIPT = 200, 1500, 1500
+
+
+def cut(text: str, n: int) -> str:
+    """The first n bytes of a text, without a character that they end in, and a mark if that isn't all."""
+    raw = text.encode()
+    return text if len(raw) <= n else raw[:n].decode(errors="ignore") + "…"
+
+
+def transcript(messages) -> str:
+    """A run as text: each message's role, the tools it calls, and its content cut to TRANSCRIPT."""
+    calls = lambda m: "".join(f" -> {c.name} {c.args}" for c in m.calls)
+    return "\n".join(f"{m.role}{calls(m)}: {cut(m.content, TRANSCRIPT)}" for m in messages)
+
+
 class ServiceError(RuntimeError):
-    def __init__(self, status: int, text: str):
-        super().__init__(f"status {status}: {text[:200]}")
+    def __init__(self, status: int, text: str, limit: int = CHAT_ERROR):
+        super().__init__(f"status {status}: {cut(text, limit)}")
         self.status = status
 
 
@@ -42,7 +58,7 @@ def wait_of(reply: Reply | None, attempt: int, base: float = 1.0, now: float | N
         return min(LONGEST_WAIT, base * 2**attempt)
 
 
-def retried(send: Callable[[], Reply], pause: Callable[[float], None] = time.sleep, tool_failures: int = 3) -> dict:
+def retried(send: Callable[[], Reply], pause: Callable[[float], None] = time.sleep, tool_failures: int = 3, limit: int = CHAT_ERROR) -> dict:
     """The body of the first good reply. 429 and 5xx are tried again, failed tool uses a few times, all else is an error."""
     failed = 0
     for attempt in range(ATTEMPTS):
@@ -51,14 +67,14 @@ def retried(send: Callable[[], Reply], pause: Callable[[float], None] = time.sle
             return reply.body
         text = str(reply.body)
         if reply.status in (401, 403):
-            raise RefusedError(reply.status, text)
+            raise RefusedError(reply.status, text, limit)
         if reply.status == 400 and "tool_use_failed" in text and failed < tool_failures:
             failed += 1
         elif reply.status != 429 and reply.status < 500:
-            raise ServiceError(reply.status, text)
+            raise ServiceError(reply.status, text, limit)
         if attempt + 1 < ATTEMPTS:
             pause(wait_of(reply, attempt))
-    raise ServiceError(reply.status, text)
+    raise ServiceError(reply.status, text, limit)
 
 
 def batches(texts: list[str], max_items: int = 128, max_tokens: int = 100_000) -> list[list[str]]:
@@ -85,7 +101,7 @@ class HttpEmbedder:
         out = []
         for part in batches([t[: self.max_chars] if self.max_chars > 0 else t for t in texts], *self.limits):
             body = {"model": self.model, "input": part} | ({"input_type": self.input_type} if self.input_type else {})
-            data = sorted(retried(lambda body=body: self.post(body), self.pause)["data"], key=lambda x: x["index"])
+            data = sorted(retried(lambda body=body: self.post(body), self.pause, limit=EMBED_ERROR)["data"], key=lambda x: x["index"])
             if len(data) != len(part):
                 raise ValueError(f"{len(data)} vectors for {len(part)} texts")
             out += [x["embedding"] for x in data]

@@ -125,10 +125,13 @@ def contrastive_pairs(spark, sf_dir):
     return metrics.contrastive_pairs(runs(spark, sf_dir).withColumn("arm", arm))
 
 
-@query(f"WITH {RUNS_SQL} SELECT arm, sum(system_n)::BIGINT AS system, sum(history_n)::BIGINT AS history, sum(code_n)::BIGINT AS retrieved_code, sum(output_n)::BIGINT AS output, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(cached_tokens)::BIGINT AS cached_tokens FROM runs GROUP BY 1")
+@query(
+    f"""WITH {RUNS_SQL} SELECT arm, sum(system_n)::BIGINT AS system, sum(history_n)::BIGINT AS history, sum(code_n)::BIGINT AS retrieved_code, sum(output_n)::BIGINT AS output, sum(summarized)::BIGINT AS compression,
+    sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(cached_tokens)::BIGINT AS cached_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM runs GROUP BY 1"""
+)
 def ledger_sum(spark, sf_dir):
-    sums = [F.sum(F.col("buckets")[b]).alias(b) for b in ("system", "history", "retrieved_code", "output")]
-    return runs(spark, sf_dir).groupBy("arm").agg(*sums, F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("cached_tokens").alias("cached_tokens"))
+    rows = metrics.ledger_sum(runs(spark, sf_dir), ["arm"], F.col("summarized"))
+    return rows.select("arm", *[F.col("buckets")[b].alias(b) for b in metrics.BUCKETS], "prompt_tokens", "cached_tokens", "completion_tokens")
 
 
 @query(f"WITH {RUNS_SQL} SELECT round(coalesce(avg(code_n), 0), 6) AS mean_tokens FROM runs")

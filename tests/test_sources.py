@@ -172,6 +172,18 @@ def test_clients():
     assert e.post == ("openai", "k") and e.input_type is None and e.max_chars == clients.MAX_CHARS
 
 
+def test_cuts_count_bytes():
+    assert clients.cut("aé" * 3, 5) == "aéa…" and clients.cut("é", 1) == "…" and clients.cut("abc", 3) == "abc"
+    long = clients.Reply(404, {"e": "é" * 5000}, {})
+    for limit, send in ((200, lambda: clients.HttpEmbedder(lambda b: long, "m").embed(["x"])), (1500, lambda: clients.ChatClient(lambda b: long, "m").summarize("x", "y"))):
+        with pytest.raises(clients.ServiceError) as e:
+            send()
+        kept = str(e.value).removeprefix("status 404: ")
+        assert kept.endswith("…") and limit - 2 <= len(kept[:-1].encode()) <= limit
+    told = clients.transcript([agent.Message("user", "find"), agent.Message("assistant", "x" * 9000, [agent.Call("search_code", "{}")])])
+    assert told == "user: find\nassistant -> search_code {}: " + "x" * 1500 + "…"
+
+
 def test_chat_and_guideline(tmp_path):
     sent = []
     body = {"choices": [{"message": {"content": None, "tool_calls": [{"id": "7", "function": {"name": "search_code", "arguments": '{"query": "x"}'}}]}}], "usage": {"prompt_tokens": 9, "completion_tokens": 2, "prompt_tokens_details": {"cached_tokens": 4}}}
