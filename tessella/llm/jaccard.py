@@ -289,20 +289,23 @@ def candidates(groups: DataFrame, percent: int) -> DataFrame:
     def near(n, sketch, others, shingles):
         return np.unique(np.concatenate([q for _, q, _ in _near(np.array([n]), [sketch], np.array([x for x, _ in others]), [x for _, x in others], percent)] or [np.zeros(0, int)]))
 
-    return _in_blocks(groups, "list", groups.groupBy("list").agg(F.count("*").alias("n")), compare, near)
+    return _in_blocks(groups, "list", compare, near)
 
 
-def _in_blocks(groups: DataFrame, key: str, counts: DataFrame, compare, near) -> DataFrame:
-    """(u, v): links of all groups from `compare` on pairs of blocks.
+def _in_blocks(groups: DataFrame, key: str, compare, near, load=None) -> DataFrame:
+    """(u, v): links of all groups from `compare` on pairs of blocks; `load` adds what it needs to rows of groups.
 
     In groups of over a block, each member is first held against the one that the group is named by, its center. Those
     that `near` tells to be linked with it are linked with each other through it, so their blocks need not meet: a large
     group of copies takes time in proportion to its size, times the blocks of members that are far from its center.
     """
-    counts = stored(counts)
+    counts = stored(groups.groupBy(key).agg(F.count("*").alias("n")))
     large = counts.where(F.col("n") > BLOCK).select(key)
+    whole = load or (lambda rows: rows)
     if large.isEmpty():
-        return blocked(groups, key, "node", BLOCK, counts).groupBy(key, "i", "j").applyInArrow(compare, "u long, v long")
+        return blocked(whole(groups), key, "node", BLOCK, counts).groupBy(key, "i", "j").applyInArrow(compare, "u long, v long")
+    rest = whole(groups.join(large, key, "left_anti"))
+    groups = stored(whole(groups.join(large, key)))
     columns = groups.columns
     extra = "shingles" if "shingles" in columns else "sketch"
     center = groups.where(F.col("node") == F.col(key)).select(key, F.col("n").alias("_n"), F.col("sketch").alias("_sketch"), F.col(extra).alias("_extra"))
@@ -320,14 +323,14 @@ def _in_blocks(groups: DataFrame, key: str, counts: DataFrame, compare, near) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(loose)], [*columns, "loose"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.select(columns).schema)
-    marked = stored(groups.join(large, key).join(center, key).mapInArrow(mark, f"{schema}, loose boolean"))
+    marked = stored(groups.join(center, key).mapInArrow(mark, f"{schema}, loose boolean"))
     stars = marked.where(~F.col("loose") & (F.col("node") != F.col(key))).select(F.col("node").alias("u"), F.col(key).alias("v"))
-    pairs = blocked(marked, key, "node", BLOCK, loose="loose").drop("loose").unionByName(blocked(groups, key, "node", BLOCK, counts.where(F.col("n") <= BLOCK)))
+    pairs = blocked(marked, key, "node", BLOCK, loose="loose").drop("loose").unionByName(blocked(rest, key, "node", BLOCK, counts.where(F.col("n") <= BLOCK)))
     return pairs.groupBy(key, "i", "j").applyInArrow(compare, "u long, v long").unionByName(stars)
 
 
-def verified(groups: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """(u, v): true links that connect all linked classes of a group, from rows (root, node, n, sketch, shingles); counts: (root, n)."""
+def verified(groups: DataFrame, load, percent: int) -> DataFrame:
+    """(u, v): true links that connect all linked classes of a group, from rows (root, node, n, sketch); `load` adds shingles to rows."""
 
     def compare(key, block):
         (a, b), node, n, sk = _block(block, key)
@@ -368,7 +371,7 @@ def verified(groups: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
         common = np.array([np.isin(x, center, assume_unique=True).sum() for x in sets], np.int64)
         return np.flatnonzero(100 * common >= percent * (len(center) + np.array([len(x) for x in sets], np.int64) - common))
 
-    return _in_blocks(groups, "root", counts, compare, near)
+    return _in_blocks(groups, "root", compare, near, load)
 
 
 #: Bits of the map that tells which documents take part in the exact comparison; others are only read more.
@@ -422,8 +425,11 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     lists = stored(listed(classes, -(-percent * (last + 1) // 100), percent, common).join(classes.select("node", "n", "sketch"), "node"))
     roots = components(candidates(lists, percent))
     told = stored(roots.join(classes.select("node", "h", "n", "sketch"), "node"))
-    whole = told.join(sets_of(docs, told, size).groupBy("node", "h").agg(F.first("shingles").alias("shingles")), ["node", "h"]).drop("h")
-    found = stored(components(verified(whole, told.groupBy("root").agg(F.count("*").alias("n")), percent).unionByName(light_links(classes, last, percent))).join(classes.select("node", "least"), "node"))
+
+    def load(rows):
+        return rows.join(sets_of(docs, rows, size).groupBy("node", "h").agg(F.first("shingles").alias("shingles")), ["node", "h"]).drop("h")
+
+    found = stored(components(verified(told, load, percent).unionByName(light_links(classes, last, percent))).join(classes.select("node", "least"), "node"))
     names = found.groupBy("root").agg(F.min("least").alias("component_id"))
     ends = classes.select("node", "least").join(found.join(names, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     rows = every.where("n > 0").select("id", "n", F.col("set").alias("node")).join(ends, "node").select("id", "n", "component_id")
