@@ -15,6 +15,8 @@ from ..sources.shared import shared_dir
 
 #: Bytes of text that one vectorised step takes at most, unless a single text is longer.
 STEP_BYTES = 2 << 20
+#: Bytes that word hashing expands to numbers at a time, unless a single word is longer.
+SEGMENT = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,12 +137,18 @@ def words(raw: np.ndarray, at: np.ndarray, kind: np.ndarray = PLAIN) -> tuple[np
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word with A-Z lower-cased."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTES[raw] * powers("up", len(raw)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers("down", len(raw))[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word with A-Z lower-cased; some SEGMENT bytes at a time, as values take 32 bytes for each."""
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        base = starts[k]
+        to = max(k + 1, int(np.searchsorted(starts, base + SEGMENT)))
+        part, s, e = raw[base : ends[to - 1]], starts[k:to] - base, ends[k:to] - base
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * powers("up", len(part)), out=sums[1:])
+        out[k:to] = mix((sums[e] - sums[s]) * powers("down", len(part))[s] + (e - s).astype(np.uint64))
+        k = to
+    return out
 
 
 def hash_word(word: str) -> int:

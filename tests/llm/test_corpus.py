@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import bpe, components, embeddings, gif, jaccard, langid, license, lines, lm, packing, queries, shards
+from tessella.llm import bpe, common, components, embeddings, gif, jaccard, langid, license, lines, lm, packing, queries, shards
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -31,6 +31,18 @@ def test_odd_rows_and_empty_tables(odd, empty, name):
         assert got.count() == odd.count()
 
 
+def test_word_hashes_by_segments(monkeypatch):
+    text = ("Ünïcode words AND w" + "x" * 300 + " ab\t") * 20
+    raw = np.frombuffer(text.encode(), np.uint8)
+    s, e = common.words(raw, np.array([0, len(raw)]))
+    whole = common.word_hashes(raw, s, e)
+    assert len(set(whole)) == 5 and [int(h) for h in whole[:5]] == [common.hash_word(w) for w in text.split()[:5]]
+    for size in (1, 7, 100, 1000):
+        monkeypatch.setattr(common, "SEGMENT", size)
+        assert (common.word_hashes(raw, s, e) == whole).all()
+    assert len(common.word_hashes(raw, s[:0], e[:0])) == 0
+
+
 def test_null_ids(spark):
     """Rows without an id are rows like others: each gets its own result, the same as a row of that text with an id."""
     texts = ["one two three four five\nsix seven\neight nine\nten", "der Hund und die Katze", "Licensed under the Apache License, Version 2.0", "", None]
