@@ -15,7 +15,7 @@ from ..operators.retrieval import search_text
 from ..operators.store import ChunkStore
 from ..sources import files, reports
 from ..sources.shared import shared_dir
-from ..streaming.watch import changes, keep_current, watch_events
+from ..streaming.watch import changes, keep_current, watch_events, watch_tree
 from .metric_queries import _COUNTS_SQL, _counts
 from .registry import query, table, tokens_sql
 from .retrieval_queries import SPANS_SQL, SWEEP_SQL, TOPK_SQL, _spans, _sweep
@@ -102,9 +102,8 @@ def trajectory_files(spark, sf_dir):
     return files.read_trajectories(spark, root).select("task_id", F.size("messages").alias("messages"), calls.alias("calls"), F.sha2(log, 256).alias("log_sha"))
 
 
-@query("SELECT source || '/_' || doc_id || '.py' AS path, sha256(text) AS content_sha FROM documents WHERE doc_id % 5 NOT IN (0, 1, 2)")
-def repo_scan(spark, sf_dir):
-    """Documents as files of a tree; those in hidden or vendored folders, or with another suffix, are not scanned."""
+def _tree(spark, sf_dir):
+    """Documents as files of a tree, a fifth each in hidden and vendored folders and with another suffix."""
     root = urlparse(shared_dir(spark, "tree")).path
 
     def write(frames):
@@ -117,7 +116,21 @@ def repo_scan(spark, sf_dir):
             yield frame[["doc_id"]]
 
     table(spark, sf_dir, "documents").select("doc_id", "source", "text").mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
-    return files.scan_sources(spark, root).select("path", F.sha2("content", 256).alias("content_sha"))
+    return root
+
+
+@query("SELECT source || '/_' || doc_id || '.py' AS path, sha256(text) AS content_sha FROM documents WHERE doc_id % 5 NOT IN (0, 1, 2)")
+def repo_scan(spark, sf_dir):
+    return files.scan_sources(spark, _tree(spark, sf_dir)).select("path", F.sha2("content", 256).alias("content_sha"))
+
+
+@query("SELECT source || '/_' || doc_id || '.py' AS path, 'create' AS op FROM documents WHERE doc_id % 5 NOT IN (0, 1, 2)")
+def tree_events(spark, sf_dir):
+    """What a stream that watches a tree reports of it at first."""
+    root, out = _tree(spark, sf_dir), shared_dir(spark, "seen")
+    seen = watch_tree(spark, root).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
+    seen.awaitTermination()
+    return spark.read.schema("path string, op string, ts timestamp").parquet(out).select("path", "op")
 
 
 @query(
