@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import pickle
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ TEXTS = 2000
 #: are not independent, and without a bound the score of any longer text would be 1.
 TRUSTED = 60
 SPACE = 0x20
+#: Characters of a long text that are held as numbers at a time.
+SEGMENT = 1 << 18
 
 
 @cache
@@ -50,10 +54,9 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.repeat(np.arange(len(texts)), lengths)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every 4-gram as four 16-bit characters, the text it is of, and each text's number of letters."""
+def _normal(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normal forms of code points, SPACE for what is neither letter nor mark, and whether each is a letter."""
     form, letter = _tables()
-    points, owner = _points(texts)
     beyond = points > 0xFFFF
     low = np.where(beyond, 0, points)
     seq, isletter = form[low], letter[low]
@@ -61,6 +64,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         alpha = np.fromiter((chr(c).isalpha() for c in points[beyond]), bool)
         seq[beyond] = np.where(alpha, 0xE000 + (points[beyond] & 0xFFF), SPACE)
         isletter[beyond] = alpha
+    return seq, isletter
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every 4-gram as four 16-bit characters, the text it is of, and each text's number of letters."""
+    points, owner = _points(texts)
+    seq, isletter = _normal(points)
     letters = np.bincount(owner[isletter], minlength=len(texts))
     same = np.zeros(len(seq), bool)
     same[1:] = owner[1:] == owner[:-1]
@@ -75,6 +85,18 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed, owner, letters
 
 
+def pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The 4-grams of a long text, SEGMENT characters at a time, and the letters among those."""
+    held = np.full(ORDER - 1, SPACE, np.uint64)
+    whole = text + "\n"
+    for k in range(0, len(whole), SEGMENT):
+        seq, isletter = _normal(np.frombuffer(whole[k : k + SEGMENT].encode("utf-32-le", "surrogatepass"), np.uint32))
+        before = np.concatenate([held[-1:], seq[:-1]])
+        full = np.concatenate([held, seq[(seq != SPACE) | (before != SPACE)]])
+        held = full[-(ORDER - 1) :]
+        yield sum((full[ORDER - 1 - j : len(full) - j] << np.uint64(16 * j) for j in range(1, ORDER)), full[ORDER - 1 :]), int(isletter.sum())
+
+
 def _last(packed: np.ndarray, n: int) -> np.ndarray:
     return packed if n == 4 else packed & np.uint64((1 << 16 * n) - 1)
 
@@ -151,13 +173,20 @@ class Model:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nats a character by text and language, characters, letters."""
-        packed, owner, letters = grams(texts)
+        long = [i for i, t in enumerate(texts) if len(t) > SEGMENT]
+        packed, owner, letters = grams(["" if len(t) > SEGMENT else t for t in texts])
         codes, kinds = pd.factorize(packed)
         n = np.bincount(owner, minlength=len(texts))
         out = np.empty((len(texts), len(self.names)))
         for k, m in enumerate(self.models):
-            out[:, k] = -np.bincount(owner, m.log_prob(kinds)[codes], minlength=len(texts)) / np.maximum(n, 1)
-        return out, n, letters
+            out[:, k] = -np.bincount(owner, m.log_prob(kinds)[codes], minlength=len(texts))
+        for i in long:
+            for own, some in pieces(texts[i]):
+                kinds, times = np.unique(own, return_counts=True)
+                out[i] -= [times @ m.log_prob(kinds) for m in self.models]
+                n[i] += len(own)
+                letters[i] += some
+        return out / np.maximum(n, 1)[:, None], n, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, confidence, cross-entropy and whether it is rejected.
@@ -196,11 +225,12 @@ def fit(docs: DataFrame, texts: int = TEXTS, id_col: str = "doc_id", text_col: s
 
     def count(batches):
         for batch in steps(batches, "text"):
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            packed, owner, _ = grams(batch.column("text").to_pylist())
-            for lang in set(langs):
-                kinds, n = np.unique(packed[(langs == lang)[owner]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds)), pa.array(kinds.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            langs, texts = np.array(batch.column("lang").to_pylist(), object), batch.column("text").to_pylist()
+            packed, owner, _ = grams(["" if len(t) > SEGMENT else t for t in texts])
+            parts = [(lang, packed[(langs == lang)[owner]]) for lang in set(langs)]
+            for lang, own in chain(parts, ((lang, own) for lang, t in zip(langs, texts, strict=True) if len(t) > SEGMENT for own, _ in pieces(t))):
+                kinds, n = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     counted = rows.where("fits").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counted["lang"].unique())

@@ -518,6 +518,18 @@ def test_rejection_takes_foreign_text_and_little_else(spark):
     assert sum(model.predict(held)[3]) <= 0.01 * len(held)
 
 
+def test_long_texts_in_segments(docs, monkeypatch):
+    texts = ["Wörter  und\n\n -- Sätze " * 30, "   x" + " " * 400 + "yz 漢字 \U0001f600\U00020000 ", "a", "", "kurz und gut"]
+    model = langid.fit(docs(["the cat and the dog " * 9] * 20 + ["der Hund und die Katze " * 9] * 20, {i: "de" for i in range(20, 40)}))
+    want, fitted = model.entropies(texts), model.models[0].probs[4]
+    for size in (1, 5, 64):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert all(np.allclose(a, b) for a, b in zip(model.entropies(texts), want, strict=True))
+        assert [g for p, _ in langid.pieces(texts[1]) for g in p] == list(langid.grams(texts[1:2])[0])
+    again = langid.fit(docs(["the cat and the dog " * 9] * 20 + ["der Hund und die Katze " * 9] * 20, {i: "de" for i in range(20, 40)}))
+    assert np.array_equal(again.models[0].probs[4].keys, fitted.keys) and np.allclose(again.models[0].probs[4].values, fitted.values)
+
+
 def test_ties_confidence_and_models_of_nothing(docs):
     same = langid.KneserNey(*np.unique(langid.grams(["abc abd"])[0], return_counts=True))
     tied = langid.Model(["aa", "bb"], [same, same], np.full(2, np.inf))
