@@ -106,8 +106,8 @@ def retry_waits(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '3000' ELSE array_to_string(list_filter([event_id % 5 - 1, user_id], lambda x: x > 0), ',') END AS budgets, CASE WHEN event_id % 4 = 0 THEN 7 ELSE user_id END AS turns,
-    CASE WHEN event_id % 4 = 0 THEN 0.5::DOUBLE ELSE user_id / 2 END AS tolerance FROM events WHERE event_id % 4 = 0 OR event_id % 5 > 1 OR user_id > 0"""
+    """WITH e AS (SELECT *, event_id % 4 = 0 AS unset, list_filter([event_id % 5 - 1, user_id], lambda x: x > 0) AS given FROM events)
+    SELECT event_id, CASE WHEN unset OR len(given) = 0 THEN '3000' ELSE array_to_string(given, ',') END AS budgets, CASE WHEN unset THEN 7 ELSE user_id END AS turns, CASE WHEN unset THEN 0.5::DOUBLE ELSE user_id / 2 END AS tolerance FROM e"""
 )
 def env_settings(spark, sf_dir):
     """Settings read from variables: lists of positive numbers, whole numbers, numbers, and what holds without them."""
@@ -120,8 +120,7 @@ def env_settings(spark, sf_dir):
                 out.append((i, ",".join(map(str, clients.positive_numbers("B", env=env))), clients.whole_number("T", 7, env), clients.number("F", 0.5, env)))
             yield pd.DataFrame(out, columns=["event_id", "budgets", "turns", "tolerance"])
 
-    rows = table(spark, sf_dir, "events").where("event_id % 4 = 0 or event_id % 5 > 1 or user_id > 0")
-    return rows.select("event_id", "user_id").mapInPandas(read, "event_id long, budgets string, turns long, tolerance double")
+    return table(spark, sf_dir, "events").select("event_id", "user_id").mapInPandas(read, "event_id long, budgets string, turns long, tolerance double")
 
 
 @query("SELECT doc_id, sha256(array_slice(encode(text), 1, 200)) AS error_sha, sha256(array_slice(encode(text), 1, 1500)) AS transcript_sha FROM documents")

@@ -189,9 +189,9 @@ def retrieval_report(spark, sf_dir):
     return _report_rows(spark, reports.retrieval_report(rows, metrics.headline(rows)))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error') AND user_id % 2 = 0")
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error') AND value > 10")
 def event_changes(spark, sf_dir):
-    return changes(table(spark, sf_dir, "events"), ("click", "error"), "event_type", F.col("user_id") % 2 == 0).select("event_id", "event_type")
+    return changes(table(spark, sf_dir, "events"), ("click", "error"), "event_type", F.col("value") > 10).select("event_id", "event_type")
 
 
 
