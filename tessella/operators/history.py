@@ -39,7 +39,8 @@ def compress(turns: DataFrame, budgets: DataFrame, summary: Callable[[Column], C
     """
     if "compressed" not in turns.columns:
         turns = turns.withColumn("compressed", F.lit(False))
-    rows = with_protected(turns, key).withColumn("tokens", token_count("content")).withColumn("summary", summary(F.col("content"))).withColumn("summary_tokens", token_count("summary"))
+    # counted below the window's exchange, so once and not for each budget
+    rows = with_protected(turns.withColumn("tokens", token_count("content")).withColumn("summary", summary(F.col("content"))).withColumn("summary_tokens", token_count("summary")), key)
     free = (F.col("role") == "tool") & ~F.col("protected") & (F.col("content") != MARKER)
     rows = rows.withColumn("can_sum", free & ~F.col("compressed") & (F.col("tokens") > min_tokens if min_tokens > 0 else F.lit(True)))
     rows = rows.withColumn("can_drop", free).join(F.broadcast(budgets), how="cross")
